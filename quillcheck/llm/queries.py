@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillcheck.llm.bpe import p7_ids
+from quillcheck.llm.leakage import p8_found, p8_removal_spans
+from quillcheck.llm.sentences import p9_found
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p7_ids": p7_ids,
+        "p8_found": p8_found,
+        "p8_removal_spans": p8_removal_spans,
+        "p9_found": p9_found,
     }
 
 
