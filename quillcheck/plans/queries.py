@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillcheck.operators.orphans import p5_cascade, p5_found, p5_report
+from quillcheck.operators.rejects import p4_found, p4_loaded, p4_problems
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict counts."""
@@ -13,7 +16,14 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        "p4_found": p4_found,
+        "p4_loaded": p4_loaded,
+        "p4_problems": p4_problems,
+        "p5_found": p5_found,
+        "p5_report": p5_report,
+        "p5_cascade": p5_cascade,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
