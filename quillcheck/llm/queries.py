@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillcheck.llm.bpe import p7_ids
 from quillcheck.llm.leakage import p8_found, p8_removal_spans
+from quillcheck.llm.lookalike import p3_found, p3_plain
+from quillcheck.llm.name_variants import p6_found
 from quillcheck.llm.sentences import p9_found
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p3_found": p3_found,
+        "p3_plain": p3_plain,
+        "p6_found": p6_found,
         "p7_ids": p7_ids,
         "p8_found": p8_found,
         "p8_removal_spans": p8_removal_spans,
