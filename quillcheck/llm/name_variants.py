@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillcheck.operators.name_candidates import first_author_name, matching_names
+from quillcheck.session import checkpointed
 
 
 def author_of_names(entries: DataFrame) -> DataFrame:
@@ -27,16 +28,17 @@ def author_of_names(entries: DataFrame) -> DataFrame:
     frequent of its near spellings; following leaders twice reaches the common
     spelling, because slips are slips of that one.
     """
-    counted = entries.where(F.col("name").isNotNull()).groupBy("manuscript_id", "name").agg(F.count("*").alias("n"))
+    counted = checkpointed(entries.where(F.col("name").isNotNull()).groupBy("manuscript_id", "name").agg(F.count("*").alias("n")))
     near = matching_names(counted, counted, ["manuscript_id"]).where(F.col("probe_name") != F.col("indexed_name"))
     weight = counted.select("manuscript_id", F.col("name").alias("indexed_name"), "n")
     options = near.join(weight, ["manuscript_id", "indexed_name"]).select("manuscript_id", F.col("probe_name").alias("name"), F.col("indexed_name").alias("to"), "n")
     own = counted.select("manuscript_id", "name", F.col("name").alias("to"), "n")
     leader = options.unionByName(own).groupBy("manuscript_id", "name").agg(F.max_by("to", F.struct("n", "to")).alias("author"))
+    leader = checkpointed(leader)
     for _ in range(2):
         onward = leader.select("manuscript_id", F.col("name").alias("author"), F.col("author").alias("_next"))
         leader = leader.join(onward, ["manuscript_id", "author"]).select("manuscript_id", "name", F.col("_next").alias("author"))
-    return leader
+    return checkpointed(leader)
 
 
 def link_variants(entries: DataFrame, citations: DataFrame) -> DataFrame:
@@ -49,7 +51,7 @@ def link_variants(entries: DataFrame, citations: DataFrame) -> DataFrame:
     whose surname or full name is.
     """
     base = entries.select("id", "manuscript_id", "first_author_last", "authors_raw", "ref_year", "year_suffix").distinct()
-    named = base.withColumn("name", first_author_name("authors_raw", "first_author_last")).drop("authors_raw")
+    named = checkpointed(base.withColumn("name", first_author_name("authors_raw", "first_author_last")).drop("authors_raw"))
     author = author_of_names(named.select("id", "manuscript_id", "name").distinct())
     known = named.join(author, ["manuscript_id", "name"])
 
@@ -61,7 +63,7 @@ def link_variants(entries: DataFrame, citations: DataFrame) -> DataFrame:
     best = candidates.groupBy("manuscript_id", "probe_name", "author").agg(F.min("apart").alias("apart"))
     rank = Window.partitionBy("manuscript_id", "probe_name")
     best = best.withColumn("_least", F.min("apart").over(rank)).where(F.col("apart") == F.col("_least"))
-    best = best.select("manuscript_id", F.col("probe_name").alias("name"), "author")
+    best = checkpointed(best.select("manuscript_id", F.col("probe_name").alias("name"), "author"))
 
     # several authors equally near: the year decides where it can
     years = known.select("manuscript_id", "author", F.col("ref_year").alias("_year"), F.coalesce("year_suffix", F.lit("")).alias("_suffix")).distinct()
