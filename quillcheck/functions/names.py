@@ -372,6 +372,7 @@ def _lookup_keys(a: Author) -> list[str]:
     return [a.key, a.parts[0], "".join(a.parts[1:])]
 
 
+@lru_cache(maxsize=100_000)
 def name_index(name: str | None) -> list[str]:
     """Index entries of a typed name over all its readings, acronyms included."""
     out: set[str] = set()
@@ -383,6 +384,7 @@ def name_index(name: str | None) -> list[str]:
     return sorted(out)
 
 
+@lru_cache(maxsize=100_000)
 def name_probe(name: str | None) -> list[str]:
     """Lookups of a typed name; it shares at least one with the index entries of every name that may equal it."""
     out: set[str] = set()
