@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillcheck.llm.bpe import p7_ids
+from quillcheck.llm.catalog import p1_found, p1_unmatched
 from quillcheck.llm.leakage import p8_found, p8_removal_spans
 from quillcheck.llm.lookalike import p3_found, p3_plain
 from quillcheck.llm.name_variants import p6_found
@@ -15,6 +16,8 @@ from quillcheck.llm.sentences import p9_found
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_unmatched": p1_unmatched,
         "p3_found": p3_found,
         "p3_plain": p3_plain,
         "p6_found": p6_found,
