@@ -127,7 +127,8 @@ def misread_words(prose: DataFrame) -> DataFrame:
     # letters among digits and digits among letters
     has_both = F.col("form").rlike(r"\p{Nd}") & F.col("form").rlike(r"\p{L}")
     lawful = F.col("form").rlike(r"^(?:1[5-9]|20)\d\d[a-z]$|^(?:1[5-9]|20)\d0s$|^\d+(?:st|nd|rd|th|er|ère|ème|º|ª|ms|mm|px)$|^v\d{1,2}$|^\d{1,3}-\p{L}{3,}$")
-    mixed = words.where(~F.col("form").contains(JOINT) & has_both & ~lawful).select(*KEY, "word", F.lit(None).cast("string").alias("meant"))
+    digits = F.translate("form", "olizsbgq", "01125699")
+    mixed = words.where(~F.col("form").contains(JOINT) & has_both & ~lawful).select(*KEY, "word", F.when(digits.rlike(r"^\d+$"), digits).alias("number"), skeleton(F.col("form")).alias("skeleton"))
 
     # frequent form of each skeleton
     leading = forms.groupBy("skeleton").agg(F.max_by(F.struct("form", "n", "n_small"), F.struct("n", "form")).alias("lead"))
@@ -161,6 +162,7 @@ def misread_words(prose: DataFrame) -> DataFrame:
     fits = (F.col("form") == F.col("glued")) | (F.length("form") >= 8)
     unspaced = unknown.where(F.length("form") >= 5).join(run_on, ["skeleton"]).where(fits & (F.col("n_pair") >= 2 * F.greatest("n", F.lit(1)))).select("form", "meant").distinct()
     glued = whole.select(*KEY, "word", "form").unionByName(lone.select(*KEY, "word", "form")).join(unspaced, ["form"]).select(*KEY, "word", "meant")
+    mixed = mixed.join(leading.select("skeleton", "meant"), ["skeleton"], "left").select(*KEY, "word", F.coalesce("number", "meant").alias("meant"))
     return mixed.unionByName(odd).unionByName(wrong).unionByName(glued)
 
 
@@ -196,7 +198,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repaired(quotes: DataFrame) -> DataFrame:
     """``record_table, record_id, paragraph``: the prose reflowed, divided words joined, misread words replaced."""
     prose = checkpointed(reflowed(checkpointed(quote_lines(quotes))))
-    fixes = misread_words(prose).where(F.col("meant").isNotNull()).distinct().groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("word", "meant"))).alias("fixes"))
+    capital = F.concat(F.upper(F.substring("meant", 1, 1)), F.substring("meant", 2, 1 << 20))
+    fixes = misread_words(prose).where(F.col("meant").isNotNull()).groupBy(*KEY, "word").agg(F.min("meant").alias("meant"))
+    fixes = fixes.withColumn("as_written", F.when(F.col("word").rlike(r"^\p{Lu}"), capital).otherwise(F.col("meant"))).groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("word", "as_written"))).alias("fixes"))
     words = _words(prose).where(~F.col("form").contains(JOINT)).groupBy("form").count().where("count >= 2").select("form")
     joints = prose.select(*KEY, F.explode(F.regexp_extract_all("prose", F.lit(rf"([\p{{L}}\p{{N}}]+{JOINT}[\p{{L}}\p{{N}}]+)"), 1)).alias("joint")).distinct()
     parts = F.split("joint", JOINT)
