@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillcheck.functions.text import to_number, whole_number
@@ -18,24 +18,23 @@ def table_rows(lines: DataFrame, heading: str, keep: tuple[str, ...] = ()) -> Da
 
     The first line that contains the heading opens the section; every line that
     contains it is skipped.  The separator row ends the header, the first other
-    line behind it ends the table, later separators are skipped.  One pass of
-    three minima, no window over the document.  ``keep`` names the columns that
-    tell documents apart.  No heading or separator: no rows.
+    line behind it ends the table, later separators are skipped.  Three minima
+    over one window per document.  ``keep`` names the columns that tell
+    documents apart.  No heading or separator: no rows.
     """
-    base = lines.where(F.col("text").isNotNull()).select(*keep, "line_no", "text")
-    has = F.contains(F.col("text"), F.lit(heading))
-    start = base.where(has).groupBy(*keep).agg(F.min("line_no").alias("_h"))
-    joined = base.join(F.broadcast(start), list(keep)) if keep else base.crossJoin(F.broadcast(start))
-    below = joined.where((F.col("line_no") > F.col("_h")) & ~has)
+    document = Window.partitionBy(*(keep or (F.lit(0),)))
     inner = F.regexp_extract("text", r"^\|(.+)\|\s*$", 1)
-    below = below.withColumn("is_row", F.col("text").rlike(r"^\|(.+)\|\s*$")).withColumn("cells", F.when(F.col("is_row"), F.transform(F.split(inner, r"\|", -1), F.trim)))
-    below = below.withColumn("is_rule", F.coalesce(F.forall("cells", lambda c: c.rlike("^[-: ]*$")), F.lit(False)))
-    rule = below.where("is_rule").groupBy(*keep).agg(F.min("line_no").alias("_s"))
-    below = below.join(F.broadcast(rule), list(keep)) if keep else below.crossJoin(F.broadcast(rule))
-    end = below.where(~F.col("is_row") & (F.col("line_no") > F.col("_s"))).groupBy(*keep).agg(F.min("line_no").alias("_e"))
-    below = below.join(F.broadcast(end), list(keep), "left") if keep else below.crossJoin(F.broadcast(end.agg(F.min("_e").alias("_e"))))
-    body = (F.col("line_no") > F.col("_s")) & (F.col("_e").isNull() | (F.col("line_no") < F.col("_e"))) & F.col("is_row") & ~F.col("is_rule")
-    return below.where(body).select(*keep, "line_no", "cells")
+    rows = lines.where(F.col("text").isNotNull()).select(*keep, "line_no", "text")
+    rows = rows.withColumns({"has": F.contains("text", F.lit(heading)), "is_row": F.col("text").rlike(r"^\|(.+)\|\s*$")})
+    rows = rows.withColumn("cells", F.when(F.col("is_row"), F.transform(F.split(inner, r"\|", -1), lambda c: F.trim(c))))
+    rows = rows.withColumn("is_rule", F.coalesce(F.forall("cells", lambda c: c.rlike("^[-: ]*$")), F.lit(False)))
+    rows = rows.withColumn("_h", F.min(F.when(F.col("has"), F.col("line_no"))).over(document))
+    below = (F.col("line_no") > F.col("_h")) & ~F.col("has")
+    rows = rows.withColumn("_s", F.min(F.when(below & F.col("is_rule"), F.col("line_no"))).over(document))
+    inside = below & (F.col("line_no") > F.col("_s"))
+    rows = rows.withColumn("_e", F.min(F.when(inside & ~F.col("is_row"), F.col("line_no"))).over(document))
+    body = inside & (F.col("_e").isNull() | (F.col("line_no") < F.col("_e"))) & F.col("is_row") & ~F.col("is_rule")
+    return rows.where(body).select(*keep, "line_no", "cells")
 
 
 def _cell(i: int) -> Column:
