@@ -340,10 +340,28 @@ def token_frequency(*texts: tuple[DataFrame, str]) -> dict[str, int]:
     return {r["t"]: r["n"] for r in rows}
 
 
+def trie_pattern(terms: list[str]) -> str:
+    """One regular expression for all terms in which common beginnings are tried once."""
+    root: dict = {}
+    for t in terms:
+        node = root
+        for c in t:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        ends = "" in node
+        branches = [re.escape(c) + written(n) for c, n in sorted(node.items()) if c]
+        if ends or not branches:
+            return ""  # a shorter term is found already
+        return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+    return written(root).replace("\\ ", " ")
+
+
 def _verbatim(column: F.Column, forms: list[tuple[str, str]]) -> F.Column:
     """Whether a text contains a written form of the catalog, ignoring case."""
-    pattern = "|".join(re.escape(f).replace("\\ ", " ") for f in sorted({f for _, f in forms}, key=lambda f: (-len(f), f)))
-    return column.rlike(f"(?iu)(?:{pattern})")
+    return F.lower(column).rlike(trie_pattern(sorted({f.lower() for _, f in forms})))
 
 
 def map_values(values: DataFrame, column: str, catalog: DataFrame, frequency: dict[str, int] | None = None) -> DataFrame:

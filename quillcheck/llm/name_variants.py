@@ -65,13 +65,15 @@ def link_variants(entries: DataFrame, citations: DataFrame) -> DataFrame:
     best = best.withColumn("_least", F.min("apart").over(rank)).where(F.col("apart") == F.col("_least"))
     best = checkpointed(best.select("manuscript_id", F.col("probe_name").alias("name"), "author"))
 
-    # several authors equally near: the year decides where it can
+    # several authors equally near: the year decides where it can, then the number of their entries
     years = known.select("manuscript_id", "author", F.col("ref_year").alias("_year"), F.coalesce("year_suffix", F.lit("")).alias("_suffix")).distinct()
     linked = cited.join(best, ["manuscript_id", "name"])
     in_year = (F.col("_year") == F.col("cite_year")) | (F.col("_year") == F.col("year_alt"))
     hits = linked.join(years, ["manuscript_id", "author"]).where(in_year & (F.col("_suffix") == F.coalesce("year_suffix", F.lit("")))).select("id", "author").distinct().withColumn("_hit", F.lit(1))
-    linked = linked.join(hits, ["id", "author"], "left").withColumn("_any", F.max("_hit").over(Window.partitionBy("id")))
-    linked = linked.where(F.col("_any").isNull() | (F.col("_hit") == 1)).select("id", "manuscript_id", F.col("name").alias("cited_as"), "author").distinct()
+    sizes = known.groupBy("manuscript_id", "author").agg(F.count_distinct("id").alias("_n"))
+    linked = linked.join(hits, ["id", "author"], "left").join(sizes, ["manuscript_id", "author"])
+    first = Window.partitionBy("id").orderBy(F.desc(F.coalesce("_hit", F.lit(0))), F.desc("_n"))
+    linked = linked.withColumn("_rank", F.rank().over(first)).where("_rank = 1").select("id", "manuscript_id", F.col("name").alias("cited_as"), "author").distinct()
 
     members = known.select(F.col("id").alias("entry_id"), "manuscript_id", "author", "first_author_last", "name").distinct()
     mixed = linked.join(members, ["manuscript_id", "author"]).where(F.col("cited_as") != F.col("first_author_last")).select(F.col("id").alias("x"), F.col("entry_id").alias("y"))

@@ -201,11 +201,13 @@ def repaired(quotes: DataFrame) -> DataFrame:
     capital = F.concat(F.upper(F.substring("meant", 1, 1)), F.substring("meant", 2, 1 << 20))
     fixes = misread_words(prose).where(F.col("meant").isNotNull()).groupBy(*KEY, "word").agg(F.min("meant").alias("meant"))
     fixes = fixes.withColumn("as_written", F.when(F.col("word").rlike(r"^\p{Lu}"), capital).otherwise(F.col("meant"))).groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("word", "as_written"))).alias("fixes"))
-    words = _words(prose).where(~F.col("form").contains(JOINT)).groupBy("form").count().where("count >= 2").select("form")
+    words = _words(prose).where(~F.col("form").contains(JOINT)).groupBy("form").agg(F.count("*").alias("n"))
+    parts_known = words.select(F.explode(F.split("form", "-")).alias("form"), "n").groupBy("form").agg(F.sum("n").alias("n")).where("n >= 2").select("form")
+    words = words.where("n >= 2").select("form")
     joints = prose.select(*KEY, F.explode(F.regexp_extract_all("prose", F.lit(rf"([\p{{L}}\p{{N}}]+{JOINT}[\p{{L}}\p{{N}}]+)"), 1)).alias("joint")).distinct()
     parts = F.split("joint", JOINT)
     joints = joints.withColumns({"form": F.lower(F.replace("joint", F.lit(JOINT), F.lit(""))), "head": F.lower(F.get(parts, F.lit(0))), "tail": F.lower(F.get(parts, F.lit(1)))})
-    apart = joints.join(words, ["form"], "left_anti").join(words.withColumnRenamed("form", "head"), ["head"], "left_semi").join(words.withColumnRenamed("form", "tail"), ["tail"], "left_semi")
+    apart = joints.join(words, ["form"], "left_anti").join(parts_known.withColumnRenamed("form", "head"), ["head"], "left_semi").join(parts_known.withColumnRenamed("form", "tail"), ["tail"], "left_semi")
     compounds = apart.groupBy(*KEY).agg(F.collect_set("joint").alias("compounds"))
     joined = prose.join(compounds, list(KEY), "left").join(fixes, list(KEY), "left")
     text = F.aggregate(F.coalesce("compounds", F.array().cast("array<string>")), F.col("prose"), lambda t, j: F.replace(t, j, F.replace(j, F.lit(JOINT), F.lit("-"))))
