@@ -54,7 +54,9 @@ def late_or_missing(events: DataFrame, deliveries: DataFrame) -> DataFrame:
     asking = rows.where("kind = 1").select("key", "day").distinct()
     carry = carry.join(asking, (carry["key"] == asking["key"]) & carry["day"].eqNullSafe(asking["day"]), "left_semi")
 
-    within = Window.partitionBy("key", "day").orderBy(F.col("at").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # events without a time see nothing before them, so they need no common partition
+    rows = rows.withColumn("salt", F.when(F.col("day").isNull(), F.pmod(F.xxhash64("event", "kind"), F.lit(64))).otherwise(0))
+    within = Window.partitionBy("key", "day", "salt").orderBy(F.col("at").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("today_until", F.when(F.col("day").isNotNull(), F.max("until").over(within))).where("kind = 1")
     joined = placed.join(carry.withColumnRenamed("key", "_k").withColumnRenamed("day", "_d"), (F.col("key") == F.col("_k")) & F.col("day").eqNullSafe(F.col("_d")))
     until = F.greatest("before_until", "today_until")
