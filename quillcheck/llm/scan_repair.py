@@ -128,7 +128,7 @@ def misread_words(prose: DataFrame) -> DataFrame:
     has_both = F.col("form").rlike(r"\p{Nd}") & F.col("form").rlike(r"\p{L}")
     lawful = F.col("form").rlike(r"^(?:1[5-9]|20)\d\d[a-z]$|^(?:1[5-9]|20)\d0s$|^\d+(?:st|nd|rd|th|er|ère|ème|º|ª|ms|mm|px)$|^v\d{1,2}$|^\d{1,3}-\p{L}{3,}$")
     digits = F.translate("form", "olizsbgq", "01125699")
-    mixed = words.where(~F.col("form").contains(JOINT) & has_both & ~lawful).select(*KEY, "word", F.when(digits.rlike(r"^\d+$"), digits).alias("number"), skeleton(F.col("form")).alias("skeleton"))
+    mixed = words.where(~F.col("form").contains(JOINT) & has_both & ~lawful).select(*KEY, "word", F.when(digits.rlike(r"^\d+$") & (2 * F.length(F.regexp_replace("form", r"\d", "")) <= F.length("form")), digits).alias("number"), skeleton(F.col("form")).alias("skeleton"))
 
     # frequent form of each skeleton
     leading = forms.groupBy("skeleton").agg(F.max_by(F.struct("form", "n", "n_small"), F.struct("n", "form")).alias("lead"))
