@@ -197,7 +197,7 @@ def _surname(tokens: list[str], given: tuple[str, ...] = ()) -> Author:
     return Author("".join(parts), given, (), parts if len(parts) > 1 else ())
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=150_000)
 def read_name(name: str | None) -> tuple[Author, ...]:
     """The readings of a typed name, likeliest first."""
     if not name or not name.strip():
@@ -372,7 +372,7 @@ def _lookup_keys(a: Author) -> list[str]:
     return [a.key, a.parts[0], "".join(a.parts[1:])]
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def name_index(name: str | None) -> list[str]:
     """Index entries of a typed name over all its readings, acronyms included."""
     out: set[str] = set()
@@ -384,7 +384,7 @@ def name_index(name: str | None) -> list[str]:
     return sorted(out)
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=10_000)
 def name_probe(name: str | None) -> list[str]:
     """Lookups of a typed name; it shares at least one with the index entries of every name that may equal it."""
     out: set[str] = set()
