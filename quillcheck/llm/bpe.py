@@ -29,8 +29,8 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the published pre-tokenisation pattern of this vocabulary.
 PIECES = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Distinct pieces whose ids each Python worker remembers; only speed depends on it.
-REMEMBERED_PIECES = 400_000
-PAIR_TABLE_SIZE = 2_000_000
+REMEMBERED_PIECES = 200_000
+PAIR_TABLE_SIZE = 500_000
 
 
 def byte_alphabet() -> dict[str, int]:

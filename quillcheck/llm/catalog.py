@@ -199,7 +199,7 @@ class Catalog:
                         out[w] = max(out.get(w, 0), 0.85 if short else 0.8)
                     elif short and len(bare) >= 3 and len(w) > len(bare) and slips(bare, w[: len(bare)], 1) <= 1:
                         out[w] = max(out.get(w, 0), 0.7)
-        if len(self._near) < 500_000:
+        if len(self._near) < 100_000:
             self._near[word] = out
         return out
 

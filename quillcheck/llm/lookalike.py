@@ -120,7 +120,7 @@ class Plainer:
                             following[c] = (s, path + c)
                 layer = following
             best = max((s + score.get(c + "$", unseen), path) for c, (s, path) in layer.items())[1]
-        if len(self.known) < 500_000:
+        if len(self.known) < 100_000:
             self.known[word] = best
         return best
 
