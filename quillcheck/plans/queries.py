@@ -12,7 +12,7 @@ from quillcheck.operators import citations as cit
 from quillcheck.operators import gates, paraphrase
 from quillcheck.operators import references as ref
 from quillcheck.operators.claims import PATTERNS, ClaimPattern, extract_claims
-from quillcheck.operators.decide import DecisionRules, decide
+from quillcheck.operators.decide import DecisionRules, decide, infer_measure
 from quillcheck.operators.library import attach_verdict, match_library
 from quillcheck.operators.orphans import p5_cascade, p5_found, p5_report
 from quillcheck.operators.rejects import p4_found, p4_loaded, p4_problems
@@ -119,9 +119,29 @@ def decide_p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir, "p_value").groupBy("status").agg(F.count("*").alias("n"))
 
 
+P_VALUE_SQL = f"""WITH {TRUTH_SQL},
+    k AS (SELECT j.id, j.parsed_value v, t.dv tdv, t.p_r, t.p_wil, lower(coalesce(context_snippet, raw_text, '')) low, coalesce(context_snippet, raw_text, '') sn, coalesce(raw_text, '') raw, start_pos s, end_pos e
+      FROM j LEFT JOIN truth t ON j.dv = t.dv WHERE claim_type = 'p_value'),
+    l AS (SELECT *, CASE WHEN s IS NULL AND e IS NULL THEN CASE WHEN raw <> '' AND (length(sn) - length(replace(sn, raw, ''))) = length(raw) THEN instr(sn, raw) - 1 END
+        WHEN s >= 0 AND e <= length(sn) AND s < e AND substr(sn, s + 1, e - s) = raw THEN s END st FROM k),
+    m AS (SELECT *, lower(substr(sn, 1, st + length(raw))) scope FROM l),
+    r AS (SELECT *, length(regexp_extract(raw, '\.(\d+)', 1)) d,
+        greatest(length(regexp_extract(scope, '(?s)^(.*)wilcoxon', 1)) + CASE WHEN contains(scope, 'wilcoxon') THEN 0 ELSE -1 END, length(regexp_extract(scope, '(?s)^(.*)\*v\*', 1)) + CASE WHEN contains(scope, '*v*') THEN 0 ELSE -1 END,
+          CASE WHEN regexp_matches(scope, '(?:^|[^a-z])v\s*=') THEN length(regexp_extract(scope, '(?s)^((?:.*[^a-z])?)v\s*=', 1)) ELSE -1 END) w,
+        greatest(length(regexp_extract(scope, '(?s)^(.*)\*f\*', 1)) + CASE WHEN contains(scope, '*f*') THEN 0 ELSE -1 END,
+          CASE WHEN regexp_matches(scope, '(?:^|[^a-z])f\s*\(') THEN length(regexp_extract(scope, '(?s)^((?:.*[^a-z])?)f\s*\(', 1)) ELSE -1 END) f FROM m),
+    x AS (SELECT *, CASE WHEN w > f THEN p_wil ELSE p_r END expected FROM r)
+    SELECT status, count(*) AS n FROM (SELECT CASE WHEN v IS NULL THEN 'WARN' WHEN v.op IS NOT NULL AND v.op <> '=' THEN 'MANUAL'
+        WHEN contains(low, 'interaction') OR contains(low, '×') OR contains(low, 'approached significance') OR contains(low, 'spearman') OR contains(low, 'correlation between') THEN 'MANUAL'
+        WHEN tdv IS NULL THEN 'MANUAL' WHEN st IS NULL THEN 'MANUAL' WHEN expected IS NULL OR v.p IS NULL THEN 'WARN'
+        WHEN abs(v.p - expected) <= CASE WHEN d > 0 THEN pow(10.0, -d) * 0.5 + 1e-9 ELSE 1e-9 END THEN 'PASS' ELSE 'FAIL' END AS status FROM x) GROUP BY status"""
+
+
 def infer_dv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The one measure that a claim's line names."""
-    return _decided(spark, sf_dir).where(F.col("matched_dv").isNotNull()).select(F.col("id").alias("claim_id"), "matched_dv").where(~F.col("matched_dv").rlike("_(HQ|LQ)$"))
+    """The one measure that a claim and its line name, if it is one."""
+    rows = _table(spark, sf_dir, "numerical_claims", "id", "raw_text", "context_snippet")
+    text = F.concat(F.coalesce("context_snippet", "raw_text", F.lit("")), F.lit(" "), F.coalesce("raw_text", F.lit("")))
+    return rows.select(F.col("id").alias("claim_id"), infer_measure(text, _rules(spark, sf_dir).dv_keywords).alias("dv")).where("dv is not null")
 
 
 def half_ulp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,6 +353,11 @@ PAGE_SQL = rf"""WITH t AS (SELECT doc_id, text, regexp_split_to_array(text, '{_B
     SELECT doc_id, c AS line_count, CASE WHEN c IS NULL THEN 'FAIL' WHEN c <= 70 THEN 'PASS' WHEN c <= 85 THEN 'WARN' ELSE 'FAIL' END AS status FROM n"""
 
 
+DOC_LINES_SQL = rf"""WITH t AS (SELECT doc_id, regexp_split_to_array(text, '{_BREAK}') p FROM documents WHERE text IS NOT NULL AND text <> ''),
+    n AS (SELECT doc_id, CASE WHEN p[-1] = '' THEN p[1:len(p) - 1] ELSE p END q FROM t)
+    SELECT doc_id, CAST(len(q) AS BIGINT) AS n_lines, CAST(list_sum(list_transform(q, lambda x: length(x))) AS BIGINT) AS n_line_chars FROM n WHERE len(q) > 0"""
+
+
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_line_chars"))
@@ -385,6 +410,9 @@ def oracle_sql() -> dict[str, str]:
     return claims | {
         "claim_type_counts": counts,
         "decide_generic": GENERIC_SQL,
+        "infer_dv": f"WITH {TRUTH_SQL} SELECT DISTINCT id AS claim_id, dv FROM j WHERE dv IS NOT NULL",
+        "decide_p_value": P_VALUE_SQL,
+        "doc_lines": DOC_LINES_SQL,
         "half_ulp": "SELECT DISTINCT id AS result_id, coalesce(abs(computed_value - expected_value) <= 0.01 * 0.5 + 1e-9, false) AS equal_at_2, CASE WHEN computed_value IS NOT NULL THEN true END AS has_digits FROM verification_results",
         "truth_p_table": TRUTH_P_SQL,
         "truth_usable": f"SELECT dv, count(*) FILTER (WHERE {USABLE_SQL}) AS n_usable FROM (SELECT DISTINCT * FROM gt_rows) GROUP BY dv",
