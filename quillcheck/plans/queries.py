@@ -386,6 +386,41 @@ def manifest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.groupBy("project").agg(F.substring(F.sha2(F.encode(joined, "UTF-8"), 256), 1, 8).alias("prefix"))
 
 
+_FIELD = r'(?:[ \t]*"(?:[^"]|"")*"[ \t]*|[^",]*)'
+_NUMBER = r"[+−-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+−-]?[0-9]+)?"
+
+
+def _number_sql(k: int) -> str:
+    return f"CASE WHEN regexp_full_match(c[{k}], '{_NUMBER}') AND isfinite(CAST(replace(c[{k}], '−', '-') AS DOUBLE)) THEN CAST(replace(c[{k}], '−', '-') AS DOUBLE) END"
+
+
+def _optional_sql(k: int) -> str:
+    return f"(c[{k}] IN ('', '—', 'N/A') OR {_number_sql(k)} IS NOT NULL)"
+
+
+def _whole_sql(k: int) -> str:
+    return f"coalesce({_number_sql(k)} >= 1 AND {_number_sql(k)} = floor({_number_sql(k)}), false)"
+
+
+REJECTS_SQL = rf"""WITH l AS (SELECT DISTINCT row_id, coalesce(raw_line, '') s FROM raw_stat_rows),
+    f AS (SELECT row_id, regexp_full_match(s, '{_FIELD}(?:,{_FIELD})*') ok, list_transform(regexp_extract_all(s || ',', '({_FIELD}),', 1),
+        lambda x: trim(CASE WHEN trim(x) LIKE '"%' THEN replace(substr(trim(x), 2, length(trim(x)) - 2), '""', '"') ELSE x END)) c FROM l),
+    a AS (SELECT 'raw_stat_rows' AS record_table, CAST(row_id AS VARCHAR) AS record_id, CASE WHEN NOT ok THEN 'quoting' WHEN len(c) <> 13 THEN 'column_count'
+        WHEN NOT (coalesce({_number_sql(2)} >= 0, false) AND {_whole_sql(3)} AND {_whole_sql(4)} AND {_whole_sql(11)} AND coalesce({_number_sql(5)} BETWEEN 0 AND 1, false) AND coalesce({_number_sql(6)} BETWEEN 0 AND 1, false)
+          AND {_optional_sql(7)} AND {_optional_sql(8)} AND {_optional_sql(9)} AND {_optional_sql(10)} AND coalesce({_number_sql(8)} > 0, true) AND coalesce({_number_sql(9)} <= {_number_sql(10)}, true) AND c[12] IN ('✓', '✗')) THEN 'value' END AS reason FROM f),
+    r AS (SELECT DISTINCT id, coalesce(raw_text, '') s FROM reference_entries),
+    g AS (SELECT *, regexp_extract(s, '\(([^()]*)\)\s*\.', 1) y, regexp_extract(s, '\([^()]*\)\s*\.', 0) w FROM r),
+    h AS (SELECT *, CASE WHEN w = '' THEN '' ELSE substr(s, 1, instr(s, w) - 1) END head, CASE WHEN w = '' THEN s ELSE substr(s, instr(s, w) + length(w)) END rest FROM g),
+    k AS (SELECT *, regexp_extract(rest, '(?is)(?:https?://|www\.|doi:)\S+.*$', 0) link FROM h),
+    m AS (SELECT *, CASE WHEN link = '' THEN rest ELSE substr(rest, 1, length(rest) - length(link)) END body FROM k),
+    b AS (SELECT 'reference_entries' AS record_table, id AS record_id, CASE
+        WHEN length(replace(s, '(', '')) <> length(replace(s, ')', '')) OR (length(s) - length(replace(s, '*', ''))) % 2 = 1 OR (length(s) - length(replace(s, '"', ''))) % 2 = 1
+          OR length(replace(s, '“', '')) <> length(replace(s, '”', '')) THEN 'quoting'
+        WHEN w = '' OR trim(y) = '' OR NOT regexp_matches(head, '\pL') OR NOT regexp_matches(string_split(regexp_replace(body, '\*[^*]*\*', '', 'g'), '*')[1], '\pL') THEN 'column_count'
+        WHEN NOT regexp_full_match(trim(y), '[0-9]{{4}}[A-Za-z]?') OR CAST(substr(trim(y), 1, 4) AS INTEGER) NOT BETWEEN 1800 AND 2026 OR (link <> '' AND NOT regexp_matches(trim(link), '(?:^|[^0-9.])10\.[0-9]{{4,9}}/\S+$')) THEN 'value' END AS reason FROM m)
+    SELECT * FROM a WHERE reason IS NOT NULL UNION ALL SELECT * FROM b WHERE reason IS NOT NULL"""
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict counts per measure."""
     return decide_counts(spark, sf_dir)
@@ -410,6 +445,7 @@ def oracle_sql() -> dict[str, str]:
     return claims | {
         "claim_type_counts": counts,
         "decide_generic": GENERIC_SQL,
+        "p4_found": REJECTS_SQL,
         "infer_dv": f"WITH {TRUTH_SQL} SELECT DISTINCT id AS claim_id, dv FROM j WHERE dv IS NOT NULL",
         "decide_p_value": P_VALUE_SQL,
         "doc_lines": DOC_LINES_SQL,
