@@ -11,6 +11,10 @@ neighbouring words anywhere in the corpus.  A rare form that is two words of a
 known sequence has lost its space.  Digits among letters, and letters among
 digits, are misreadings by themselves.
 
+Many records may carry the same quote, so equal quotes are one text: forms,
+neighbours and headers are counted over distinct texts, each text is judged
+once, and what is found is joined back to all its records.
+
 Null, empty and blank quotes have no defects and no paragraph.  Repeated rows
 are one record.  Only group-by tables of distinct words are shuffled besides
 the lines themselves; nothing is collected.
@@ -29,9 +33,10 @@ JOINT = "\u2060"
 LEAST_FREQUENT, TIMES = 4, 8
 #: The same for forms that are only written with a capital: names resemble each other by nature.
 NAME_TIMES = 24
-#: A masked line that so many records share is a header if it breaks the flow.
-HEADER_RECORDS = 5
-KEY = ("record_table", "record_id")
+#: A masked line that so many texts share is a header if it breaks the flow.
+HEADER_TEXTS = 5
+KEY = ("text_id",)
+RECORD = ("record_table", "record_id")
 
 # Single glyphs that scanners take for each other, and glyphs that look like several others side by side.
 CONFUSABLE = ("012456789elfh", "otzbsbtbgcttb")
@@ -57,12 +62,17 @@ def skeleton(word: Column) -> Column:
     return out
 
 
+def records_of(quotes: DataFrame) -> DataFrame:
+    """``record_table, record_id, text_id`` of the quotes that are not blank; equal quotes have one text."""
+    return quotes.where(F.col("quote").rlike(r"\S")).select(*RECORD, F.sha2("quote", 256).alias("text_id"))
+
+
 def quote_lines(quotes: DataFrame) -> DataFrame:
-    """Non-blank lines of each record with ``page_number`` and ``running_header`` flags.
+    """Non-blank lines of each distinct text with ``page_number`` and ``running_header`` flags.
 
     ``quotes``: record_table, record_id, quote.
     """
-    kept = quotes.where(F.col("quote").rlike(r"\S")).distinct()
+    kept = quotes.where(F.col("quote").rlike(r"\S")).select("quote").distinct().select(F.sha2("quote", 256).alias("text_id"), "quote")
     lines = spread(kept).select(*KEY, F.posexplode(F.split("quote", r"\r\n|[\n\r\u000B\f\u0085\u2028\u2029]")).alias("line_no", "raw")).where(F.col("raw").rlike(r"\S"))
     text = F.btrim(F.col("raw"), F.lit(" \t\u00a0"))
     lines = lines.withColumn("text", text)
@@ -76,32 +86,32 @@ def quote_lines(quotes: DataFrame) -> DataFrame:
     titled = F.col("core").rlike(TITLE_LINE) & ~ends & F.col("core").rlike(r"\s") & F.col("core").rlike(r"\p{Ll}") & ~F.col("core").contains("://")
     lines = lines.withColumns({"page_only": F.col("text").rlike(PAGE_ONLY), "affix": behind | before, "strong": strong, "titled": titled, "masked": F.lower(F.regexp_replace("core", r"\d+", "#")), "ends": ends})
 
-    record = Window.partitionBy(*KEY).orderBy("line_no")
+    text_order = Window.partitionBy(*KEY).orderBy("line_no")
     prose = ~F.col("page_only") & ~F.col("strong")
     width = F.max(F.when(prose & ~F.col("titled"), F.length("text"))).over(Window.partitionBy(*KEY))
     lines = lines.withColumns({
         "width": width,
-        "next_prose": F.first(F.when(prose, F.col("text")), ignorenulls=True).over(record.rowsBetween(1, Window.unboundedFollowing)),
-        "last_prose": F.last(F.when(prose, F.col("text")), ignorenulls=True).over(record.rowsBetween(Window.unboundedPreceding, -1)),
+        "next_prose": F.first(F.when(prose, F.col("text")), ignorenulls=True).over(text_order.rowsBetween(1, Window.unboundedFollowing)),
+        "last_prose": F.last(F.when(prose, F.col("text")), ignorenulls=True).over(text_order.rowsBetween(Window.unboundedPreceding, -1)),
     })
     next_word = F.length(F.regexp_extract("next_prose", r"^(\S+)", 1))
     # a line that would have had room for the next word did not end by wrapping
     broken_after = F.col("next_prose").isNotNull() & (F.length("core") + 1 + next_word <= F.col("width") * 0.95)
     lone_end = F.col("next_prose").isNull() & F.col("last_prose").isNotNull()
     out_of_flow = broken_after | lone_end | F.col("width").isNull()
-    shared = lines.where(~F.col("page_only") & ~F.col("ends") & F.col("core").rlike(r"\p{L}.*\s")).groupBy("masked").agg(F.count_distinct(*KEY).alias("records")).where(F.col("records") >= HEADER_RECORDS)
+    shared = lines.where(~F.col("page_only") & ~F.col("ends") & F.col("core").rlike(r"\p{L}.*\s")).groupBy("masked").agg(F.count_distinct(*KEY).alias("texts")).where(F.col("texts") >= HEADER_TEXTS)
     lines = lines.withColumn("loose", out_of_flow & ~F.col("ends") & ~F.col("text").contains("://"))
     lines = lines.join(shared, ["masked"], "left")
-    header = ~F.col("page_only") & (F.col("strong") | (F.col("titled") & (F.col("loose") | F.col("records").isNotNull())) | (F.col("affix") & F.col("loose") & F.col("core").rlike(r"\p{Lu}")))
+    header = ~F.col("page_only") & (F.col("strong") | (F.col("titled") & (F.col("loose") | F.col("texts").isNotNull())) | (F.col("affix") & F.col("loose") & F.col("core").rlike(r"\p{Lu}")))
     lines = lines.withColumn("running_header", header)
     return lines.withColumn("page_number", F.col("page_only") | (header & F.col("affix"))).select(*KEY, "line_no", "text", "running_header", "page_number")
 
 
 def reflowed(lines: DataFrame) -> DataFrame:
-    """``divided`` and continuous ``prose`` of each record; divided words hold a joint where the line ended."""
+    """``divided`` and continuous ``prose`` of each text; divided words hold a joint where the line ended."""
     body = lines.where(~F.col("running_header") & ~F.col("page_number"))
-    record = Window.partitionBy(*KEY).orderBy("line_no")
-    following = F.lead("text").over(record)
+    text_order = Window.partitionBy(*KEY).orderBy("line_no")
+    following = F.lead("text").over(text_order)
     divided = F.col("text").rlike(rf"[\p{{L}}\p{{N}}][{DIVIDERS}]$") & following.rlike(r"^[\p{L}\p{N}]")
     body = body.withColumn("divided", divided)
     piece = F.when(F.col("divided"), F.concat(F.regexp_replace("text", rf"[{DIVIDERS}]$", ""), F.lit(JOINT))).otherwise(F.concat("text", F.lit(" ")))
@@ -117,7 +127,7 @@ def _words(prose: DataFrame) -> DataFrame:
 
 
 def misread_words(prose: DataFrame) -> DataFrame:
-    """``record_table, record_id, word, meant`` of words recognised wrongly or run together."""
+    """``text_id, word, meant`` of words recognised wrongly or run together."""
     words = checkpointed(_words(prose))
     whole = words.where(~F.col("form").contains(JOINT) & F.col("form").rlike(r"^[\p{L}\p{M}'’-]+$"))
     small = F.count_if(F.col("word").rlike(r"^\p{Ll}"))
@@ -181,7 +191,7 @@ def scan_defects(quotes: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.distinct()
+    return records_of(quotes).join(out.distinct(), list(KEY)).select(*RECORD, "defect").distinct()
 
 
 def quotes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +223,8 @@ def repaired(quotes: DataFrame) -> DataFrame:
     text = F.aggregate(F.coalesce("compounds", F.array().cast("array<string>")), F.col("prose"), lambda t, j: F.replace(t, j, F.replace(j, F.lit(JOINT), F.lit("-"))))
     entries = F.coalesce(F.map_entries("fixes"), F.array().cast("array<struct<key:string,value:string>>"))
     text = F.aggregate(entries, text, lambda t, e: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), e["key"], F.lit(r"\E(?![\p{L}\p{N}])")), e["value"]))
-    return joined.select(*KEY, F.replace(text, F.lit(JOINT), F.lit("")).alias("paragraph"))
+    paragraphs = joined.select(*KEY, F.replace(text, F.lit(JOINT), F.lit("")).alias("paragraph"))
+    return records_of(quotes).distinct().join(paragraphs, list(KEY)).select(*RECORD, "paragraph")
 
 
 def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,6 +111,16 @@ def test_scan_repair(spark):
     assert "null" not in text and "blank" not in text
 
 
+def test_scan_of_a_quote_in_many_records(spark):
+    odd = [("outlinc", "The effect of the color-coded outlinc on recall was clear in the first wave."), ("theoutline", "Each of the second-year nurses read theoutline before the short test began.")]
+    copies = [("u", f"{word}{i}", quote) for word, quote in odd for i in range(40)]
+    quotes = _quotes(spark).unionByName(spark.createDataFrame(copies, "record_table string, record_id string, quote string"))
+    got = {(r.record_id, r.defect) for r in S.scan_defects(quotes).where("record_table = 'u'").collect()}
+    assert got == {(f"{word}{i}", "misread") for word, _ in odd for i in range(40)}
+    text = {r.record_id: r.paragraph for r in S.repaired(quotes).where("record_table = 'u'").collect()}
+    assert len(text) == 80 and all(text[f"outlinc{i}"] == BODY[0] and text[f"theoutline{i}"] == BODY[1] for i in range(40))
+
+
 def test_scan_of_nothing(spark):
     assert S.scan_defects(_quotes(spark).limit(0)).count() == 0
 
