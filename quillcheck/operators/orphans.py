@@ -9,8 +9,10 @@ deliveries are merged.  A key that holds a third of all rows is thereby
 divided over its days.
 
 Along a graph of foreign keys the orphans spread: children of orphaned records
-are indirect orphans.  ``cascade`` iterates semi-joins until nothing is added,
-cutting the lineage by checkpoints in the shared folder.
+are indirect orphans.  ``cascade`` starts from the references that
+``orphan_references`` finds and from other keys that name no record, and
+iterates joins with the orphans until nothing is added, cutting the lineage by
+checkpoints in the shared folder.
 """
 
 from __future__ import annotations
@@ -99,18 +101,26 @@ def unmatched_citations(citations: DataFrame, entries: DataFrame) -> DataFrame:
     return citations.join(answered.unionByName(also), ["id"], "left_anti")
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations and library files whose reference does not exist, was deleted or comes later, with the month."""
+def orphan_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``record_table, record_id, via, reason, period`` of citations and files whose reference does not exist, was deleted or comes later.
+
+    ``via`` is the column that refers: ``ref_id``, or ``first_author_last`` where that is blank.
+    """
     entries = spark.read.parquet(f"{sf_dir}/reference_entries.parquet")
     citations = spark.read.parquet(f"{sf_dir}/in_text_citations.parquet").select("id", "manuscript_id", "first_author_last", "cite_year", "year_suffix", "year_alt", "cited_at", key_of("ref_id").alias("key"))
     files = spark.read.parquet(f"{sf_dir}/source_pdfs.parquet").select("id", "extracted_at", key_of("ref_id").alias("key"))
     events = citations.select("key", F.col("cited_at").alias("at"), F.lit("in_text_citations").alias("record_table"), F.col("id").alias("record_id"))
     events = events.unionByName(files.select("key", F.col("extracted_at").alias("at"), F.lit("source_pdfs").alias("record_table"), F.col("id").alias("record_id")))
     deliveries = entries.select(key_of("id").alias("key"), "loaded_at", "deleted_at")
-    keyed = late_or_missing(events, deliveries).select("record_table", "record_id", "reason", period("at").alias("period"))
+    keyed = late_or_missing(events, deliveries).select("record_table", "record_id", F.lit("ref_id").alias("via"), "reason", period("at").alias("period"))
     blank = citations.where(F.col("key").isNull())
-    unmatched = unmatched_citations(blank, entries).select(F.lit("in_text_citations").alias("record_table"), F.col("id").alias("record_id"), F.lit("missing").alias("reason"), period("cited_at").alias("period"))
-    return keyed.unionByName(unmatched).distinct()
+    unmatched = unmatched_citations(blank, entries).select(F.lit("in_text_citations").alias("record_table"), F.col("id").alias("record_id"), F.lit("first_author_last").alias("via"), F.lit("missing").alias("reason"), period("cited_at").alias("period"))
+    return keyed.unionByName(unmatched)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations and library files whose reference does not exist, was deleted or comes later, with the month."""
+    return orphan_references(spark, sf_dir).drop("via").distinct()
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,35 +149,48 @@ GRAPH = (
 )
 
 
-def cascade(tables: dict[str, DataFrame], graph: tuple[ForeignKey, ...] = GRAPH) -> DataFrame:
-    """``record_table, record_id, via, kind`` of direct and inherited orphans.
+#: When a record refers; records of other tables take the month of the orphan they hang on.
+EVENT_TIMES = {"numerical_claims": "extracted_at", "reference_entries": "loaded_at", "in_text_citations": "cited_at", "source_pdfs": "extracted_at"}
+
+
+def _children(tables: dict[str, DataFrame], edge: ForeignKey) -> DataFrame:
+    """``record_table, record_id, via, own_period`` and the key ``_c`` of the records that refer along an edge."""
+    time = EVENT_TIMES.get(edge.child)
+    own = period(time) if time in tables[edge.child].columns else F.lit(None).cast("string")
+    rows = tables[edge.child].select(F.lit(edge.child).alias("record_table"), F.col("id").alias("record_id"), F.lit(edge.column).alias("via"), own.alias("own_period"), key_of(edge.column).alias("_c"))
+    return rows.where("_c is not null").distinct()
+
 
-    A record is a direct orphan if a key of it names no record; it is an
-    inherited one if it names an orphan.  A record that is both is direct.
-    Rounds of semi-joins run until no record is added; there are at most as
-    many as the graph has levels, unless keys form a cycle, where they end
+def cascade(tables: dict[str, DataFrame], graph: tuple[ForeignKey, ...] = GRAPH, references: DataFrame | None = None) -> DataFrame:
+    """``record_table, record_id, via, kind, reason, period`` of direct and inherited orphans.
+
+    A record is a direct orphan if a key of it names no record or if it is one
+    of ``references`` (record_table, record_id, via, reason, period); it is an
+    inherited one, with the reason of its parent, if it names an orphan.  A
+    record that is both is direct.  Each reason, month and column of a record
+    is a row.  Rounds of joins run until no record is added; there are at most
+    as many as the graph has levels, unless keys form a cycle, where they end
     because every round must add a record.
     """
-    orphans: DataFrame | None = None
+    columns = ["record_table", "record_id", "via", "reason", "period"]
+    if not graph:
+        raise ValueError("the graph has no foreign key")
+    orphans = None if references is None else references.select(*columns)
     for edge in graph:
         parent_keys = tables[edge.parent].select(key_of("id").alias("_p")).where("_p is not null").distinct()
-        child = tables[edge.child].select("id", key_of(edge.column).alias("_c")).where("_c is not null").distinct()
-        part = child.join(parent_keys, F.col("_c") == F.col("_p"), "left_anti").select(F.lit(edge.child).alias("record_table"), F.col("id").alias("record_id"), F.lit(edge.column).alias("via"))
+        part = _children(tables, edge).join(parent_keys, F.col("_c") == F.col("_p"), "left_anti").select("record_table", "record_id", "via", F.lit("missing").alias("reason"), F.col("own_period").alias("period"))
         orphans = part if orphans is None else orphans.unionByName(part)
-    if orphans is None:
-        raise ValueError("the graph has no foreign key")
-    found = checkpointed(orphans.groupBy("record_table", "record_id").agg(F.min("via").alias("via")).withColumn("kind", F.lit("direct")).withColumn("round", F.lit(0)))
+    found = checkpointed(orphans.distinct().withColumn("kind", F.lit("direct")).withColumn("round", F.lit(0)))
     step = 0
     while True:
         fresh = found.where(F.col("round") == step)
         step += 1
         added: DataFrame | None = None
         for edge in graph:
-            parents = fresh.where(F.col("record_table") == edge.parent).select(F.lower(F.btrim("record_id")).alias("_p")).distinct()
-            child = tables[edge.child].select("id", key_of(edge.column).alias("_c")).where("_c is not null").distinct()
-            part = child.join(parents, F.col("_c") == F.col("_p"), "left_semi").select(F.lit(edge.child).alias("record_table"), F.col("id").alias("record_id"), F.lit(edge.column).alias("via"))
+            parents = fresh.where(F.col("record_table") == edge.parent).select(key_of("record_id").alias("_p"), "reason", F.col("period").alias("parent_period")).distinct()
+            part = _children(tables, edge).join(parents, F.col("_c") == F.col("_p")).select("record_table", "record_id", "via", "reason", F.coalesce("own_period", "parent_period").alias("period"))
             added = part if added is None else added.unionByName(part)
-        new = added.groupBy("record_table", "record_id").agg(F.min("via").alias("via")).join(found, ["record_table", "record_id"], "left_anti")
+        new = added.distinct().join(found.select("record_table", "record_id").distinct(), ["record_table", "record_id"], "left_anti")
         new = checkpointed(new.withColumn("kind", F.lit("inherited")).withColumn("round", F.lit(step)))
         if new.isEmpty():
             return found.drop("round")
@@ -175,7 +198,8 @@ def cascade(tables: dict[str, DataFrame], graph: tuple[ForeignKey, ...] = GRAPH)
 
 
 def p5_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Direct and inherited orphans down the foreign-key graph, counted per table and key column."""
+    """Direct and inherited orphans down the foreign-key graph, counted per table, key column, month, kind and reason."""
     names = {e.child for e in GRAPH} | {e.parent for e in GRAPH}
     tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
-    return cascade(tables).groupBy("record_table", "via", "kind").agg(F.count("*").alias("n_records"))
+    found = cascade(tables, references=orphan_references(spark, sf_dir))
+    return found.groupBy("record_table", "via", "period", "kind", "reason").agg(F.count_distinct("record_id").alias("n_records"))

@@ -130,6 +130,26 @@ def test_cascade(spark):
     assert got == {("b2", "direct"), ("c3", "direct"), ("c1", "inherited"), ("d1", "inherited"), ("d2", "inherited")}
 
 
+def test_cascade_from_deleted_late_and_unnamed_references(spark, tmp_path):
+    t = lambda rows, name, cols: spark.createDataFrame(rows, cols).write.parquet(f"{tmp_path}/{name}.parquet")
+    t([("m",)], "manuscripts", "id string")
+    t([("n1", "m", day(1))], "numerical_claims", "id string, manuscript_id string, extracted_at timestamp")
+    t([("live", "m", "Brown", "Brown, B.", 2003, "", day(1), None), ("gone", "m", "Moe", "Moe, A.", 2004, "", day(1), day(5)), ("later", "m", "Rot", "Rot, A.", 2005, "", day(50), None)], "reference_entries", "id string, manuscript_id string, first_author_last string, authors_raw string, ref_year int, year_suffix string, loaded_at timestamp, deleted_at timestamp")
+    cites = [("c1", "LIVE", "Brown", 2003), ("c2", "Gone", "Moe", 2004), ("c3", "later", "Rot", 2005), ("c4", "nowhere", "Li", 2006), ("c5", None, "Zhaestelo", 2007), ("c6", " ", "Brown", 2003)]
+    t([(i, "m", a, y, "", None, day(10), r) for i, r, a, y in cites], "in_text_citations", "id string, manuscript_id string, first_author_last string, cite_year int, year_suffix string, year_alt int, cited_at timestamp, ref_id string")
+    t([("f1", "gone", day(40)), ("f2", None, day(40))], "source_pdfs", "id string, ref_id string, extracted_at timestamp")
+    t([(f"x{i}", f"c{i}", None) for i in range(1, 7)], "paraphrase_matches", "id string, citation_id string, ref_id string")
+    tables = {n: spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("manuscripts", "numerical_claims", "reference_entries", "in_text_citations", "source_pdfs", "paraphrase_matches")}
+    month, far = (spark.createDataFrame([(day(d),)], "t timestamp").select(O.period("t")).first()[0] for d in (10, 40))
+    reasons = {2: "deleted", 3: "late", 4: "missing", 5: "missing"}
+    via = {2: "ref_id", 3: "ref_id", 4: "ref_id", 5: "first_author_last"}
+    want = {("in_text_citations", f"c{i}", via[i], "direct", reasons[i], month) for i in reasons} | {("paraphrase_matches", f"x{i}", "citation_id", "inherited", reasons[i], month) for i in reasons} | {("source_pdfs", "f1", "ref_id", "direct", "deleted", far)}
+    got = O.cascade(tables, references=O.orphan_references(spark, str(tmp_path))).select("record_table", "record_id", "via", "kind", "reason", "period").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    counts = {(r.record_table, r.period, r.kind, r.reason, r.via): r.n_records for r in O.p5_cascade(spark, str(tmp_path)).collect()}
+    assert counts["paraphrase_matches", month, "inherited", "missing", "citation_id"] == 2 and sum(counts.values()) == 9
+
+
 def test_period_is_utc(spark):
     old = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "Asia/Seoul")
