@@ -20,6 +20,8 @@ STOPWORDS = tuple(
 MAX_KEYWORDS = 8
 WINDOW = 1000
 PAGES = 15
+#: Characters of a paraphrase and a quote in a stored match.
+STORED = 300
 
 
 def threshold_for(purpose: Column) -> Column:
@@ -172,7 +174,9 @@ def match_paraphrases(citations: DataFrame, files: DataFrame, texts: DataFrame,
     base = citations.where(F.col("ref_id").isNotNull()).join(last, "ref_id").join(texts.withColumnRenamed("path", "pdf_path"), "pdf_path", "left")
     base = base.withColumn("_words", keywords(F.col("context_paraphrase")))
     quote = F.when(threshold_for(F.col("citation_purpose")).isNotNull(), F.left(source_quote(F.col("text"), F.col("_words")), F.lit(2000)))
-    pairs = base.select(F.col("id").alias("citation_id"), "ref_id", "pdf_path", "citation_purpose", F.left("context_paraphrase", F.lit(300)).alias("paraphrase_text"), quote.alias("extracted_quote"))
+    pairs = base.select(F.col("id").alias("citation_id"), "ref_id", "pdf_path", "citation_purpose", F.col("context_paraphrase").alias("paraphrase_text"), quote.alias("extracted_quote"))
     scored = score_pairs(pairs, scorer)
     status = paraphrase_status(F.col("citation_purpose"), F.col("extracted_quote"), F.col("score"))
-    return scored.withColumns({"status": fold_in(status, F.col("score")), "threshold_applied": threshold_for(F.col("citation_purpose"))})
+    judged = scored.withColumns({"status": fold_in(status, F.col("score")), "threshold_applied": threshold_for(F.col("citation_purpose"))})
+    # only the stored row is short, what is scored is whole
+    return judged.withColumns({c: F.left(c, F.lit(STORED)) for c in ("paraphrase_text", "extracted_quote")})

@@ -146,3 +146,14 @@ def test_command_line(spark, project, capsys):
     assert list((project / "out").glob("*/summary.md"))
     assert A.main(["--config", str(project / "none.toml")]) == 2
     assert A.main(["--manuscript", str(project / "missing.md")]) == 2
+
+
+def test_paraphrase_is_scored_whole(spark):
+    from quillcheck.operators import paraphrase
+
+    line = "shared words here " * 20 + "elsewhere unmatched telescope"
+    cited = spark.createDataFrame([("c1", "r1", "finding-cite", line)], "id string, ref_id string, citation_purpose string, context_paraphrase string")
+    files = spark.createDataFrame([("f1", "r1", "/l/a.md")], "id string, ref_id string, pdf_path string")
+    got = paraphrase.match_paraphrases(cited, files, spark.createDataFrame([("/l/a.md", "shared words here " * 40)], "path string, text string")).first()
+    assert (got.score, got.status) == (0.5, "FAIL")
+    assert got.paraphrase_text == line[:300] and len(got.extracted_quote) == 300
