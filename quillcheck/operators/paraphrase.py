@@ -164,6 +164,26 @@ def augmented_purpose(heuristic: Column, answered: Column) -> tuple[Column, Colu
     return F.when(use, answered).otherwise(heuristic), F.when(stays, "heuristic").when(use, "classifier").otherwise("fallback")
 
 
+#: Asks for the purpose of (paraphrase, raw text); an unknown or no answer leaves the heuristic one.
+Classifier = Callable[[str, str], str | None]
+
+
+def reclassified(citations: DataFrame, classifier: Classifier) -> DataFrame:
+    """``citations`` with ``citation_purpose`` by ``augmented_purpose`` and its ``purpose_origin``; equal pairs are asked for once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(_answer=pd.Series([classifier(p, r) for p, r in zip(b["_p"], b["_r"], strict=True)], index=b.index, dtype=object))
+
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    keyed = citations.withColumns({"_p": text("context_paraphrase"), "_r": text("raw_text")})
+    asked = keyed.where(~F.coalesce(F.col("citation_purpose").isin("background-cite", "theory-cite"), F.lit(False))).select("_p", "_r").distinct()
+    answers = asked.mapInPandas(run, "_p string, _r string, _answer string")
+    purpose, origin = augmented_purpose(F.col("citation_purpose"), F.col("_answer"))
+    joined = keyed.join(answers, ["_p", "_r"], "left").withColumns({"purpose_origin": origin, "citation_purpose": purpose})
+    return joined.select(*citations.columns, "purpose_origin")
+
+
 def match_paraphrases(citations: DataFrame, files: DataFrame, texts: DataFrame, scorer: Scorer = lexical_score) -> DataFrame:
     """One match per citation with a file: quote, score, status.
 

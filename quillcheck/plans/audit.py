@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from quillcheck.operators.truth import build_truth, has_usable_truth, merge_summ
 from quillcheck.schemas import RESULT
 from quillcheck.session import checkpointed
 from quillcheck.sources.config import AuditConfig, load_config
-from quillcheck.sources.files import expand_specs, library, manifest, manuscripts, read_texts, write_jsonl
+from quillcheck.sources.files import expand_specs, library, manifest, manuscripts, pdf_pages, read_texts, write_jsonl
 
 
 @dataclass
@@ -42,8 +43,26 @@ def _results(rows: DataFrame, order: int, target: str, verifier: str, target_id:
     return rows.select(F.lit(order).alias("src"), *fields)
 
 
-def run(spark: SparkSession, config: AuditConfig, phase: int = 1, scorer: paraphrase.Scorer | None = paraphrase.lexical_score) -> Audit:
-    """All frames of an audit; ids of results follow source and natural order."""
+#: ``path, page_no, text`` of the PDF files at some paths.
+PageReader = Callable[[SparkSession, list[str]], DataFrame]
+
+
+def source_texts(spark: SparkSession, paths: list[str], pages: PageReader = pdf_pages) -> DataFrame:
+    """``path, text`` of markdown files and of the first pages of PDF files; citations give no page hint."""
+    marked = [p for p in paths if p.lower().endswith(".md")]
+    printed = [p for p in paths if p.lower().endswith(".pdf")]
+    texts = read_texts(spark, marked).select("path", "text")
+    hints = spark.createDataFrame([(p, None) for p in printed], "path string, page_hint int")
+    return texts.unionByName(paraphrase.page_slice(pages(spark, printed), hints)) if printed else texts
+
+
+def run(
+    spark: SparkSession, config: AuditConfig, phase: int = 1, scorer: paraphrase.Scorer | None = paraphrase.lexical_score, classifier: paraphrase.Classifier | None = None, pages: PageReader = pdf_pages
+) -> Audit:
+    """All frames of an audit; ids of results follow source and natural order.
+
+    Without a ``classifier`` purposes are those of the heuristic; ``pages`` reads PDF files.
+    """
     texts = read_texts(spark, expand_specs(list(config.manuscripts)))
     records = manuscripts(texts)
     source = records.select(F.col("id").alias("manuscript_id"), F.col("ord").alias("ms_ord"), "section", "text")
@@ -84,8 +103,9 @@ def run(spark: SparkSession, config: AuditConfig, phase: int = 1, scorer: paraph
         parts.append(_results(entries.select("id").join(files, "id"), 5, "reference-entry", "pdf-attach", F.col("id"), attach_verdict(F.col("source_kind"), F.col("pdf_path")), F.col("source_kind")))
         if phase == 2:
             paths = [r[0] for r in files.where("pdf_path is not null").select("pdf_path").distinct().collect()]  # the files of one library
-            texts_of = read_texts(spark, [p for p in paths if p.endswith(".md")]).select("path", "text")
-            matches = checkpointed(paraphrase.match_paraphrases(linked, files.withColumnRenamed("id", "ref_id").withColumn("id", F.col("ref_id")), texts_of, scorer or (lambda p, q: None)))
+            texts_of = source_texts(spark, paths, pages)
+            asked = paraphrase.reclassified(linked, classifier) if classifier else linked
+            matches = checkpointed(paraphrase.match_paraphrases(asked, files.withColumnRenamed("id", "ref_id").withColumn("id", F.col("ref_id")), texts_of, scorer or (lambda p, q: None)))
             parts.append(_results(matches, 6, "paraphrase-match", "paraphrase-lexical", F.col("citation_id"), F.col("status"), F.col("citation_purpose"), computed_value=F.col("score")))
             parts.append(gates.scored_gate(matches).drop("id").withColumn("src", F.lit(7)))
 

@@ -86,7 +86,7 @@ def library(spark: SparkSession, root: str) -> DataFrame:
 
 
 def pdf_pages(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``path, page_no, text`` of PDF files, by an optional reader; without it no pages."""
+    """``path, page_no, text`` of PDF files, by an optional reader; without it, or of a file it cannot read, no pages."""
 
     def pages(batches):
         import pandas as pd
@@ -99,8 +99,11 @@ def pdf_pages(spark: SparkSession, paths: list[str]) -> DataFrame:
             rows = []
             for p in b["path"]:
                 if pdfplumber is not None:
-                    with pdfplumber.open(p) as pdf:
-                        rows += [(p, i + 1, page.extract_text() or "") for i, page in enumerate(pdf.pages)]
+                    try:
+                        with pdfplumber.open(p) as pdf:
+                            rows += [(p, i + 1, page.extract_text() or "") for i, page in enumerate(pdf.pages)]
+                    except (OSError, ValueError, TypeError):
+                        continue
             yield pd.DataFrame(rows, columns=["path", "page_no", "text"])
 
     return spark.createDataFrame([(p,) for p in paths], "path string").mapInPandas(pages, "path string, page_no int, text string")

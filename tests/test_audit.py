@@ -1,5 +1,7 @@
 """A small study audited from files to exit code."""
 
+from dataclasses import replace
+
 import pytest
 
 from quillcheck.plans import audit as A
@@ -157,3 +159,19 @@ def test_paraphrase_is_scored_whole(spark):
     got = paraphrase.match_paraphrases(cited, files, spark.createDataFrame([("/l/a.md", "shared words here " * 40)], "path string, text string")).first()
     assert (got.score, got.status) == (0.5, "FAIL")
     assert got.paraphrase_text == line[:300] and len(got.extracted_quote) == 300
+
+
+def test_pdf_sources_and_classifier_in_phase_2(spark, project):
+    (project / "lib").mkdir(exist_ok=True)
+    (project / "lib" / "2019_Abel_Tea_at_work.pdf").write_bytes(b"%PDF-1.4")
+    config = replace(load_config(str(project / "q.toml")), library=str(project / "lib"))
+    told = "Earlier work found the same (Abel & Brown, 2019; Dvorak, 2021)."
+    read = lambda spark, paths: spark.createDataFrame([(p, n, told if n == 15 else f"page {n}") for p in paths for n in range(1, 18)], "path string, page_no int, text string")
+
+    def ask(purpose):
+        return A.run(spark, config, phase=2, classifier=lambda paraphrase, raw: purpose, pages=read).matches.where("pdf_path like '%.pdf'").collect()
+
+    got = ask("finding-cite")
+    assert got and all(r.citation_purpose == "background-cite" or ("Earlier work" in r.extracted_quote and r.score is not None) for r in got)
+    assert any(r.status == "PASS" and r.citation_purpose == "finding-cite" for r in got)
+    assert {r.status for r in ask("background-cite")} == {"MANUAL"}
