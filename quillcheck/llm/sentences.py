@@ -184,7 +184,7 @@ def _voters() -> dict[str, frozenset[str]]:
 def language_of(paragraph: str, declared: str | None) -> str:
     """The Latin-script language of a paragraph by its function words; the declared one breaks ties."""
     votes, counts = _voters(), dict.fromkeys(FUNCTION_WORDS, 0.0)
-    for w in WORD.findall(paragraph[:4000].lower()):
+    for w in WORD.findall(paragraph.lower()):
         for language in votes.get(w, ()):
             counts[language] += 1
     declared = (declared or "").lower()[:2]

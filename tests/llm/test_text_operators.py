@@ -81,6 +81,13 @@ def test_sentences_cover_every_text():
     assert len(sentences.sentences(long, "en")) == 40_000
 
 
+def test_language_of_long_prose_is_that_of_all_of_it():
+    text = "The reader was in the house and it was late. " * 100 + "Danach wurde der 3. Teil der Arbeit mit dem Rest gelesen. " * 300
+    spans = [text[a:b] for a, b in sentences.sentences(text, None)]
+    assert sentences.language_of(text, None) == "de"
+    assert len(spans) == 400 and spans[-1] == "Danach wurde der 3. Teil der Arbeit mit dem Rest gelesen."
+
+
 def test_sentences_of_a_table(spark):
     df = spark.createDataFrame([(1, "A b. C d.", "en", 9), (2, None, None, 9), (3, " \n ", "de", 9), (4, "", "xx", 9)], "doc_id long, text string, lang string, start_pos int")
     assert sorted((r.doc_id, r.start_pos, r.end_pos) for r in sentences.split_sentences(df).collect()) == [(1, 0, 4), (1, 5, 9)]
