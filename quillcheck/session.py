@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured size stays below this bound.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+#: What a Python worker keeps between its tasks.
+KEPT = 4
+_built: dict[str, object] = {}
+T = TypeVar("T")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -20,20 +26,39 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy per-row stages at least one partition per core.
 
-    Large inputs already have more splits than cores and pass through without a
-    shuffle; only an input of very few splits is redistributed.
+    For scans: large inputs already have more splits than cores and pass through
+    without a shuffle; only an input of very few splits is redistributed.  A plan
+    with a shuffle of its own would be run to count its partitions: see ``shuffled``.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Spread the rows of an aggregate before CPU-heavy work: as many partitions as shuffles have, not joined together for being small in bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def once_per_worker(key: str, build: Callable[[], T]) -> T:
+    """What ``build`` gives, made once in each Python worker and not once in each task."""
+    if key not in _built:
+        while len(_built) >= KEPT:
+            _built.pop(next(iter(_built)))
+        _built[key] = build()
+    return _built[key]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a private one only where none is configured."""
+    """The session's shared checkpoint folder.  On one machine a private one where none is set; on a cluster that is an error."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillcheck-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quillcheck-")
     context.setCheckpointDir(folder)
     return folder
 
