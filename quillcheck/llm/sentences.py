@@ -37,7 +37,7 @@ MARKS = ".!?…。！？｡．؟۔।॥‼⁇⁈⁉"
 CANDIDATE = regex.compile(rf"[{MARKS}]+")
 #: Closing marks that may stand after the final mark even without a partner.
 LONE_CLOSERS = set("”’»」』）)]】〉》")
-THAI_GAP = regex.compile(r"(?<=[\u0e00-\u0e7f][^\s\u0e00-\u0e7f]{0,12})\s+(?=[^\s\w]{0,3}[\u0e00-\u0e7f])|(?<=[\u0e00-\u0e7f])\s+(?=\S)")
+THAI_GAP = regex.compile(r"(?<=[\u0e00-\u0e7f][^\s\u0e00-\u0e7f]*)\s+(?=[^\s\w]*[\u0e00-\u0e7f])|(?<=[\u0e00-\u0e7f])\s+(?=\S)")
 PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "【": "】", "《": "》", "〈": "〉"}
 ENDS = {c for ends in PAIRS.values() for c in ends}
 BRACKETS = set("([（【")
@@ -101,7 +101,7 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {
     "latin": [
         (False, _abbreviation(STRICT["latin"]), r"\s+\S"),
         (False, _abbreviation(COUNTED), r"\s+\p{N}"),
-        (False, r"\bal\.[*_]*$", r"\s+[(\[]?\p{N}"),
+        (False, r"\b(?:al|AL)\.[*_]*$", r"\s+[(\[]?\p{N}"),
         (False, _abbreviation(" ".join(STRICT[k] for k in ("de", "fr", "es"))), r"\s+\S"),
         (False, r"(?<!\p{L})\p{L}\.$", r"\s+\p{L}\."),
         (False, r"\b[Ii]m\s+\p{N}{1,3}\.$|\b(?:[Vv]o|[Zz]u|[Bb]ei)m\s+\p{N}{1,3}\.$", r"\s+\p{Lu}"),
@@ -165,8 +165,9 @@ WORD = regex.compile(r"\p{L}+")
 
 @cache
 def _cascade(name: str) -> list[tuple[bool, regex.Pattern | None, regex.Pattern | None]]:
+    """The rules of a language; what stands before is matched backwards from the position, however long it is."""
     return [
-        (breaks, regex.compile(before) if before else None, regex.compile(after) if after else None)
+        (breaks, regex.compile(f"(?r){before}") if before else None, regex.compile(after) if after else None)
         for table in CASCADES[name]
         for breaks, before, after in TABLES[table]
     ]
@@ -194,48 +195,56 @@ def language_of(paragraph: str, declared: str | None) -> str:
     return best
 
 
-def _script_before(text: str, at: int, floor: int) -> str:
-    """The rule family of the nearest letter or typical mark before a position."""
-    for i in range(at - 1, max(floor, at - 60) - 1, -1):
+def _script_of(text: str, at: int, floor: int) -> tuple[int, str] | None:
+    """Position and rule family of the last letter or typical mark in [floor, at), or None."""
+    for i in range(at - 1, floor - 1, -1):
         c = text[i]
         if c < "\u0250":
             if c.isalpha():
-                return "latin"
+                return i, "latin"
             continue
         for name, pattern in SCRIPTS:
             if pattern.match(c):
-                return name
-    return "latin"
+                return i, name
+    return None
 
 
 def enclosures(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """Matched quotations and brackets as (opening, closing) positions; what lacks its partner is ignored."""
-    stack: list[tuple[int, str, str]] = []
+    stack: list[tuple[int, str]] = []
+    waiting: dict[str, list[int]] = {}  # places in the stack that each closing mark would close
     found: list[tuple[int, int]] = []
+
+    def push(at: int, closers: str) -> None:
+        for e in closers:
+            waiting.setdefault(e, []).append(len(stack))
+        stack.append((at, closers))
+
+    def close(place: int, at: int) -> None:
+        found.append((stack[place][0], at))
+        while len(stack) > place:
+            for e in stack.pop()[1]:
+                waiting[e].pop()
+
     for m in MARK_OR_PAIR.finditer(text, start, end):
         i, c = m.start(), m[0]
         before = text[i - 1] if i > start else " "
         after = text[i + 1] if i + 1 < end else " "
-        closing = next((k for k in range(len(stack) - 1, -1, -1) if c in stack[k][2]), None)
+        places = waiting.get(c)
         if c in "'‘’":
-            if closing is not None and c != "‘" and not before.isspace() and not after.isalnum() and before in ".,!?…;:*)":
-                found.append((stack[closing][0], i))
-                del stack[closing:]
+            if places and c != "‘" and not before.isspace() and not after.isalnum() and before in ".,!?…;:*)":
+                close(places[-1], i)
             elif c != "’" and not before.isalnum() and (after.isalnum() or after in "¿¡*"):
-                stack.append((i, c, "'" if c == "'" else "’"))
-            continue
-        if c == '"':
-            if closing is not None and not (before.isspace() and after.isalnum()):
-                found.append((stack[closing][0], i))
-                del stack[closing:]
+                push(i, "'" if c == "'" else "’")
+        elif c == '"':
+            if places and not (before.isspace() and after.isalnum()):
+                close(places[-1], i)
             else:
-                stack.append((i, c, '"'))
-            continue
-        if closing is not None and (c not in PAIRS or c == "“"):
-            found.append((stack[closing][0], i))
-            del stack[closing:]
+                push(i, '"')
+        elif places and (c not in PAIRS or c == "“"):
+            close(places[-1], i)
         elif c in PAIRS:
-            stack.append((i, c, PAIRS[c]))
+            push(i, PAIRS[c])
     return sorted(found)
 
 
@@ -259,43 +268,45 @@ def _paragraph(text: str, start: int, end: int, declared: str | None) -> Iterato
     whole = text[start:end]
     language = language_of(whole, declared)
     spans = enclosures(text, start, end)
-    closings = {b for _, b in spans}
+    opened = {b: a for a, b in spans}
+    closings = set(opened)
     cuts: list[tuple[int, bool]] = [(_after_closers(text, m.end(), end, closings), False) for m in CANDIDATE.finditer(text, start, end)]
     if SCRIPTS[0][1].search(whole):
         cuts = sorted({*cuts, *((m.start(), True) for m in THAI_GAP.finditer(text, start, end))})
-    begin, at_span = start, 0
-    open_spans: list[tuple[int, int]] = []
+    begin, at_span, reach = start, 0, start - 1
+    seen, letter, family_there = start, -1, "latin"
     for at, gap in cuts:
         if at <= begin or at >= end:
             continue
         while at_span < len(spans) and spans[at_span][0] < at:
-            open_spans.append(spans[at_span])
+            reach = max(reach, spans[at_span][1])
             at_span += 1
-        open_spans = [s for s in open_spans if s[1] >= begin]
-        if any(s[0] < at <= s[1] for s in open_spans):
-            continue
+        if reach >= at:
+            continue  # inside a quotation or bracket
         if gap:
             yield begin, at
             begin = at
             continue
-        family = _script_before(text, at, begin)
+        if hit := _script_of(text, at, seen):
+            letter, family_there = hit
+        seen = at
+        family = family_there if letter >= begin else "latin"
         first = begin
         while first < at and text[first].isspace():
             first += 1
         mark = at
         while text[mark - 1] not in MARKS:
             mark -= 1
-        around = next((s for s in open_spans if s[0] < mark <= s[1] < at), None)
+        around = min((opened[p] for p in range(mark, at) if p in opened and opened[p] < mark), default=None)
         if around is not None:
-            if text[around[0]] in BRACKETS and around[0] != first:
+            if text[around] in BRACKETS and around != first:
                 continue
-            if family == "cjk" and around[0] == first and text[around[0]] not in BRACKETS and not text[at].isspace():
+            if family == "cjk" and around == first and text[around] not in BRACKETS and not text[at].isspace():
                 continue
             if family in ("hangul", "arabic", "devanagari") and not text[at].isspace():
                 continue
-        head = text[max(begin, at - 48) : at]
         for breaks, before, after in _cascade(language if family == "latin" else family):
-            if (before is None or before.search(head)) and (after is None or after.match(text, at, end)):
+            if (after is None or after.match(text, at, end)) and (before is None or before.match(text, begin, at)):
                 if breaks:
                     yield begin, at
                     begin = at
@@ -314,11 +325,8 @@ def _blocks(text: str) -> Iterator[tuple[int, int]]:
 def _numbered_run(lines: list[tuple[int, int]], text: str) -> set[int]:
     """Indexes of lines that belong to a numbered list: neighbours counting up, or a list that opens its block."""
     numbers = {k: int(m[1]) for k, (a, b) in enumerate(lines) if (m := NUMBERED.match(text, a, b))}
-    run = set()
-    for k, n in numbers.items():
-        if any(numbers.get(j) in (n - 1, n + 1) for j in numbers if j != k) or (k == 0 and n == 1):
-            run.add(k)
-    return run
+    values = set(numbers.values())
+    return {k for k, n in numbers.items() if n - 1 in values or n + 1 in values or (k == 0 and n == 1)}
 
 
 def sentences(text: str | None, declared: str | None = None) -> list[tuple[int, int]]:

@@ -21,7 +21,7 @@ def table(spark):
 
 @pytest.fixture(scope="module")
 def known(table):
-    return C.Catalog(C.written_forms(table), {})
+    return C.Catalog(C.written_forms(table), {}, frozenset({("mean",), ("t2",), ("self", "rated"), ("hq",)}))
 
 
 @pytest.mark.parametrize(
@@ -58,6 +58,45 @@ def test_similarity_join_is_exact():
         assert {k for _, k in join.similar(q)} == {k for k, s in enumerate(sets) if C.jaccard(q, s) >= 0.5}
 
 
+def test_phrase_join_is_complete(known):
+    """The prefix, length and positional filters lose no name that all pairs would find."""
+    import random
+
+    rng = random.Random(3)
+    pool = [*known.words, "roof", "of", "x"]
+    for _ in range(400):
+        words = [rng.choice(pool) for _ in range(rng.randrange(1, 6))]
+        near = [known.near(w) for w in words]
+        size = sum(0.4 if w in C.SMALL or len(w) <= 2 else 1.0 for w in words)
+        every = {(round(s, 9), n.entry) for k, n in enumerate(known.names) if (s := known._score(near, size, k)) >= C.PHRASE_SIMILARITY}
+        assert {(round(s, 9), e) for s, e in known._whole(words) if s >= C.PHRASE_SIMILARITY} == every
+
+
+def test_indexed_beginnings_and_skeletons():
+    words = ["accuracy", "acceptance", "recall", "recognition", "rec"]
+    begin = C.Beginnings(words)
+    assert sorted(begin.exact("rec")) == ["recall", "recognition"]
+    assert {w for w in words if len(w) > 4 and C.edit_distance("acuc", w[:4], 1) <= 1} == set(begin.close("acuc"))
+
+
+def test_frequencies_only_of_catalog_tokens(spark, table):
+    """A corpus of very many different pairs of signs does not enlarge the table; repeated letters are counted by number."""
+    texts = spark.createDataFrame([("".join(chr(0xAC00 + (i * 7919 + k * 104729) % 11172) for k in range(50)) + " recall recall",) for i in range(200)], "t string")
+    tokens = C.catalog_tokens(C.written_forms(table))
+    counted = C.token_frequency((texts, "t"), tokens=tokens)
+    assert set(counted) <= tokens
+    assert counted["=recall"] == 400 and counted["l2"] == 400 and counted["re"] == 400
+
+
+def test_learnt_affixes(spark, table):
+    values = spark.createDataFrame([(f"{w} zeta",) for w in ("recall accuracy", "delayed recall", "state anxiety", "trait anxiety")] + [("roof delayed recall",), ("zeta anxiety right know now zeta",)], "v string")
+    got = {r.v: r.dv for r in C.map_values(values, "v", table).collect()}
+    assert got["state anxiety zeta"] == "state_anxiety" and len(got) == 6
+    known = C.Catalog(C.written_forms(table), {})
+    mapped = spark.createDataFrame([(known.value(r.v), known.beside(r.v)) for r in values.collect()], "dv string, beside array<array<string>>")
+    assert C.learnt_affixes(mapped, C.written_forms(table)) == {("zeta",)}
+
+
 def test_catalog_frames(spark, table):
     values = spark.createDataFrame([("recal accuracy", 1), ("recal accuracy", 2), (None, 3), (" ", 4), ("recall_accuracy", 5), ("roof", 6)], "matched_dv string, dv int")
     assert {(r.matched_dv, r.dv) for r in C.map_values(values, "matched_dv", table).collect()} == {("recal accuracy", "recall_accuracy"), ("roof", "unmatched")}

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +89,20 @@ def test_language_of_long_prose_is_that_of_all_of_it():
     assert len(spans) == 400 and spans[-1] == "Danach wurde der 3. Teil der Arbeit mit dem Rest gelesen."
 
 
+@pytest.mark.parametrize("text", ["\n".join(f"{i % 900}. item number" for i in range(20_000)), "(" * 20_000 + "a.", "word goes on. " * 20_000, "“a.” " * 20_000, "(a. " * 20_000, "ไทย(a)bcdefghijklmnopqrs " * 20_000])
+def test_sentences_in_linear_time(text):
+    began = time.process_time()
+    assert sentences.sentences(text, "en")[-1][1] == len(text.rstrip())
+    assert time.process_time() - began < 5
+
+
+def test_sentence_context_is_not_cut_off():
+    far = "한국어 " + "1 " * 200 + "2. 3."  # the last letter stands far before the mark
+    assert len(sentences.sentences(far, None)) == 2
+    thai = "ไทย" + "(1234567890abcdef) " + "ไทย"
+    assert len(sentences.sentences(thai, None)) == 2
+
+
 def test_sentences_of_a_table(spark):
     df = spark.createDataFrame([(1, "A b. C d.", "en", 9), (2, None, None, 9), (3, " \n ", "de", 9), (4, "", "xx", 9)], "doc_id long, text string, lang string, start_pos int")
     assert sorted((r.doc_id, r.start_pos, r.end_pos) for r in sentences.split_sentences(df).collect()) == [(1, 0, 4), (1, 5, 9)]
@@ -172,7 +187,7 @@ def plainer(spark):
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("the recаll tаѕk", "the recall task"), ("ｒｅｃａｌｌ ＝ １", "recall = 1"), ("re­call​", "recall"), ("café", "café"), ("a b c", "a b c"), ("eﬀect", "effect"), ("한", "한"), ("back‑two", "back-two"), ("𝟛", "3"),
+        ("the recаll tаѕk", "the recall task"), ("ｒｅｃａｌｌ ＝ １", "recall = 1"), ("re­call​", "recall"), ("café", "café"), ("a b c", "a b c"), ("eﬀect", "effect"), ("한", "한"), ("back‑two", "back-two"), ("𝟛", "3"), ("ĳs", "ijs"), ("ſet", "set"), ("Ŀ", "L·"), ("ŉ", "ʼn"),
     ],
 )
 def test_plain_form(plainer, text, want):
@@ -185,6 +200,12 @@ def test_already_plain(plainer, text):
     assert plainer.is_plain(text) and plainer.plain(text) == text
 
 
+def test_letters_that_are_taken_apart_are_looked_at(spark):
+    df = spark.createDataFrame([(str(i), c, "Łódź žluť") for i, c in enumerate("ĳĲŀĿŉſ")], "claim_id string, raw_text string, context_snippet string")
+    found = lookalike.plain_forms(df, "claim_id", ("raw_text", "context_snippet")).collect()
+    assert sorted((r.claim_id, r.field_name) for r in found) == [(str(i), "raw_text") for i in range(6)]
+
+
 def test_plain_forms_of_a_table(spark):
     rows = [("c1", "p = .05", "the tаsk"), ("c1", "p = .05", "the tаsk"), ("c2", None, None), ("c3", "", "the task at hand"), ("c4", "ｐ = .05", "task")]
     df = spark.createDataFrame(rows, "claim_id string, raw_text string, context_snippet string").withColumn("plain_text", F.lit(1))
