@@ -5,20 +5,29 @@ value is corrected to words of the catalog by a prefix-filter set-similarity
 join: tokens are ordered by their frequency over all data, rarest first, only
 the rare prefix of a set is looked up in the inverted index of the catalog,
 candidates pass a length and a positional filter, and Jaccard similarity is
-verified exactly.  Abbreviations are looked up the same way by their consonant
-skeletons and beginnings.  On the level of phrases the same join is made with
-the corrected words as tokens; the best catalog entry above the threshold wins,
-a tie between measures is no match.
+verified exactly.  Abbreviations are looked up in indexes of beginnings and of
+consonant skeletons, with one letter left out where a slip is allowed.  On the
+level of phrases the same join is made with the corrected words as tokens: only
+the rare prefix of an entry's words is indexed, candidates pass the length and
+the positional filter in weights, and the soft Jaccard similarity is verified
+exactly; the best catalog entry above the threshold wins, a tie between measures
+is no match.
 
 The catalog is a fixed table; its size is checked before it is broadcast.
-Null and blank values give no row.
+Frequencies are counted over all data, but only of tokens the catalog has, so
+their table is as small as the catalog.  What may stand before or behind a
+measure is learnt from the values that are mapped without it: words that are no
+words of the catalog and stand beside many measures.  Null and blank values give
+no row.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+import uuid
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -26,11 +35,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillcheck.functions.names import edit_distance
 from quillcheck.llm.lookalike import Plainer, character_pairs
-from quillcheck.session import collect_bounded, spread
+from quillcheck.session import checkpointed, collect_bounded, once_per_worker, shuffled, spread
 
 MAX_CATALOG = 100_000
-MAX_TOKENS = 2_000_000
+#: Tokens of the catalog, and words learnt to stand beside its measures.
+MAX_TOKENS = 100 * MAX_CATALOG
+MAX_AFFIXES = 10_000
+#: A word beside so large a part of the measures belongs to none of them.
+AFFIX_SHARE = 0.1
 #: Similarity from which a word may be read as a word of the catalog.
 WORD_SIMILARITY = 0.4
 #: Similarity of phrases, over words or over the letters of the whole, from which an entry is meant.
@@ -39,8 +53,6 @@ LETTER_SIMILARITY = 0.6
 #: Similarity of phrases of other scripts, where words are short.
 OTHER_SIMILARITY = 0.5
 UNMATCHED = "unmatched"
-# Additions that do not change a measure.
-AFFIXES = set("hq lq t1 t2 t3 t4 pre post mean avg average total overall sum self rated test wave time2 median sd condition group baseline followup raw z log".split())
 # Small words of English measure names.
 SMALL = set("of on in the to a an and with for at by is".split())
 KOREAN_ENDINGS = re.compile(r"(?:에서|에게|에는|에|으로|로|은|는|이|가|을|를|의|와|과|도)$")
@@ -48,6 +60,9 @@ DIGITS = str.maketrans("013457", "oieast")
 WORDS = regex.compile(r"\p{Hangul}+|(?:(?!\p{Hangul})[\p{L}\p{M}\p{Nd}])+\.?")
 HYPHEN = re.compile(r"(?<=\w)[-‐‑](?=\w)")
 VOWELS = set("aeiou")
+#: Separators inside a typed value.
+PUNCTUATION = r"[_\-/,()\[\]]+"
+Affixes = frozenset[tuple[str, ...]]
 
 
 def normal(text: str) -> str:
@@ -102,13 +117,13 @@ class SetJoin:
         """So many of the rarest tokens must share one with any set that is similar enough."""
         return size - max(1, -int(-self.threshold * size // 1)) + 1
 
-    def similar(self, tokens: frozenset[str]) -> list[tuple[float, int]]:
-        """(similarity, set) of every set at or above the threshold, best first."""
-        size, t = len(tokens), self.threshold
+    def similar(self, tokens: frozenset[str], least: float | None = None) -> list[tuple[float, int]]:
+        """(similarity, set) of every set at or above ``least``, by default the threshold of the index; best first."""
+        size, t = len(tokens), max(self.threshold, least or 0.0)
         ordered = self.ordered(tokens)
         seen: set[int] = set()
         found = []
-        for position, token in enumerate(ordered[: self.prefix(size)]):
+        for position, token in enumerate(ordered[: size - max(1, -int(-t * size // 1)) + 1]):
             for k, at in self.index.get(token, ()):
                 if k in seen:
                     continue
@@ -135,36 +150,135 @@ class Name:
     latin: bool
 
 
-def slips(a: str, b: str, most: int = 2) -> int:
-    """Edits between two words, a swap counting one; beyond ``most`` it is ``most + 1``."""
-    from quillcheck.functions.names import edit_distance
+def weight(word: str) -> float:
+    """What a word counts in the similarity of phrases."""
+    return 0.4 if word in SMALL else 1.0
 
-    return edit_distance(a, b, most)
+
+class PhraseJoin:
+    """Inverted index over the rare prefixes of the words of names, for a soft Jaccard similarity.
+
+    Words of a name weigh differently, and a typed word meets one of its words
+    in part.  What is met weighs at most as much as the words of the name that
+    any typed word may be; similarity t of phrases that weigh a and b needs
+    t / (1 + t) * (a + b) of it.
+    """
+
+    def __init__(self, names: list[Name], frequency: dict[str, int], threshold: float) -> None:
+        self.frequency, self.threshold = frequency, threshold
+        self.weights = [sum(map(weight, n.words)) for n in names]
+        self.index: dict[str, list[tuple[int, float]]] = {}
+        for k, n in enumerate(names):
+            rest = sum(map(weight, set(n.words)))
+            for w in self.ordered(set(n.words)):
+                if rest < threshold / (1 + threshold) * self.weights[k] - 1e-9:
+                    break  # what follows is too little by itself
+                self.index.setdefault(w, []).append((k, rest))
+                rest -= weight(w)
+
+    def ordered(self, words: Iterable[str]) -> list[str]:
+        """Words by global rarity."""
+        return sorted(words, key=lambda w: (self.frequency.get(f"={w}", 0), w))
+
+    def candidates(self, words: set[str], size: float, repeated: float) -> list[int]:
+        """Names that a phrase of this weight may be similar to; ``words`` are those that its words may be.
+
+        ``repeated`` is the most by which a name may count one word several times.
+        """
+        t = self.threshold
+        seen: set[int] = set()
+        out = []
+        for w in self.ordered(words):
+            for k, rest in self.index.get(w, ()):
+                if k in seen:
+                    continue
+                seen.add(k)  # its first word in the order: only this one and later ones can be met
+                if (rest + repeated) * (1 + t) >= t * (size + self.weights[k]) - 1e-9:
+                    out.append(k)
+        return out
+
+
+class Beginnings:
+    """Words by their first letters, exactly or with one slip."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = sorted(words)
+        self.by_length: dict[int, dict[str, set[str]]] = {}
+
+    def exact(self, start: str) -> list[str]:
+        """Words that begin so and go on."""
+        i = bisect_left(self.words, start)
+        out = []
+        while i < len(self.words) and self.words[i].startswith(start):
+            if len(self.words[i]) > len(start):
+                out.append(self.words[i])
+            i += 1
+        return out
+
+    def close(self, start: str) -> list[str]:
+        """Longer words whose first letters, as many as asked for, are one slip away at most."""
+        n = len(start)
+        if n not in self.by_length:
+            index: dict[str, set[str]] = {}
+            for w in self.words:
+                if len(w) > n:
+                    for v in left_out(w[:n]):
+                        index.setdefault(v, set()).add(w)
+            self.by_length[n] = index
+        near = {w for v in left_out(start) for w in self.by_length[n].get(v, ())}
+        return sorted(w for w in near if edit_distance(start, w[:n], 1) <= 1)
+
+
+def left_out(word: str) -> set[str]:
+    """A word, and it without each of its letters; two words one slip apart share one of these."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+def names_of(forms: list[tuple[str, str]]) -> list[Name]:
+    """The written forms as words, compounds also in one word."""
+    names = []
+    for entry, form in [*forms, *((e, HYPHEN.sub("", f)) for e, f in forms if HYPHEN.search(f))]:
+        words = tuple(w.rstrip(".") for w in WORDS.findall(normal(re.sub(r"[_\-/]", " ", form))))
+        if words:
+            letters = "".join(words)
+            names.append(Name(entry, words, letters, letters.isascii()))
+    return list(dict.fromkeys(names))
+
+
+def catalog_tokens(forms: list[tuple[str, str]]) -> set[str]:
+    """Every token of the catalog: of its words, of its letters as a whole, and the words themselves."""
+    out: set[str] = set()
+    for n in names_of(forms):
+        out |= word_tokens(n.letters)
+        for w in n.words:
+            out |= word_tokens(w) | {f"={w}"}
+    return out
 
 
 class Catalog:
     """The written forms of all entries with their indexes."""
 
-    def __init__(self, forms: list[tuple[str, str]], frequency: dict[str, int]) -> None:
-        self.names: list[Name] = []
-        for entry, form in [*forms, *((e, HYPHEN.sub("", f)) for e, f in forms if HYPHEN.search(f))]:
-            words = tuple(w.rstrip(".") for w in WORDS.findall(normal(re.sub(r"[_\-/]", " ", form))))
-            if words:
-                letters = "".join(words)
-                self.names.append(Name(entry, words, letters, letters.isascii()))
-        self.names = list(dict.fromkeys(self.names))
+    def __init__(self, forms: list[tuple[str, str]], frequency: dict[str, int], affixes: Affixes = frozenset()) -> None:
+        self.names, self.affixes = names_of(forms), affixes
+        self.longest_affix = max(map(len, affixes), default=0)
         self.words = sorted({w for n in self.names if n.latin for w in n.words})
         self.word_join = SetJoin([word_tokens(w) for w in self.words], frequency, WORD_SIMILARITY)
         self.letter_join = SetJoin([word_tokens(n.letters) for n in self.names], frequency, OTHER_SIMILARITY)
+        self.phrase_join = PhraseJoin(self.names, frequency, PHRASE_SIMILARITY)
+        self.by_length = [tuple(sorted(n.words, key=len, reverse=True)) for n in self.names]
+        self.repeated = max((sum(map(weight, n.words)) - sum(map(weight, set(n.words))) for n in self.names), default=0.0)
+        self.known = {w for n in self.names for w in n.words}
+        self.beginnings = Beginnings(self.words)
         self.skeletons: dict[str, list[str]] = {}
         for w in self.words:
             self.skeletons.setdefault(skeleton(w), []).append(w)
-        self.by_word: dict[str, list[int]] = {}
-        for k, n in enumerate(self.names):
-            for w in set(n.words):
-                self.by_word.setdefault(w, []).append(k)
+        self.skeletons_left_out: dict[str, set[str]] = {}
+        for s in self.skeletons:
+            for v in left_out(s) if len(s) > 3 else ():
+                self.skeletons_left_out.setdefault(v, set()).add(s)
         self.longest = max((len(n.words) for n in self.names), default=0)
         self._near: dict[str, dict[str, float]] = {}
+        self._letters_of: dict[tuple[str, float], list[tuple[float, str]]] = {}
 
     def near(self, word: str) -> dict[str, float]:
         """Words of the catalog that a typed word may be, with their weight."""
@@ -173,16 +287,14 @@ class Catalog:
             return hit
         bare, short = word.rstrip("."), word.endswith(".")
         out: dict[str, float] = {}
-        if bare in self.by_word:
+        if bare in self.known:
             out[bare] = 1.0
-        if bare in self.by_word and short and len(bare) >= 3:
-            out.update({w: 0.85 for w in self.words if len(w) > len(bare) + 2 and w.startswith(bare)})
-        elif bare in self.by_word:
-            pass
+            if short and len(bare) >= 3:
+                out.update({w: 0.85 for w in self.beginnings.exact(bare) if len(w) > len(bare) + 2})
         elif bare and bare.isascii() and bare not in SMALL:
             for similarity, k in self.word_join.similar(word_tokens(bare)):
                 w = self.words[k]
-                d = slips(bare, w)
+                d = edit_distance(bare, w, 2)
                 allowed = 1 if min(len(bare), len(w)) < 5 else 2
                 if d <= allowed and (len(bare) > 2 or d == 0) and w not in SMALL:
                     out[w] = max(out.get(w, 0), 0.95 - 0.1 * d, similarity)
@@ -190,44 +302,50 @@ class Catalog:
                 for w in self.skeletons.get(bare, ()):  # vowels left out
                     out[w] = max(out.get(w, 0), 0.85)
                 if not set(bare[1:]) & VOWELS:
-                    for s, ws in self.skeletons.items():
-                        if len(s) > 3 and slips(bare, s, 1) <= 1:
-                            for w in ws:
+                    for s in {s for v in left_out(bare) for s in self.skeletons_left_out.get(v, ())}:
+                        if edit_distance(bare, s, 1) <= 1:
+                            for w in self.skeletons[s]:
                                 out[w] = max(out.get(w, 0), 0.7)
-                for w in self.words:
-                    if len(w) > len(bare) and w.startswith(bare) and (short or len(w) - len(bare) <= 3):
+                for w in self.beginnings.exact(bare):
+                    if short or len(w) - len(bare) <= 3:
                         out[w] = max(out.get(w, 0), 0.85 if short else 0.8)
-                    elif short and len(bare) >= 3 and len(w) > len(bare) and slips(bare, w[: len(bare)], 1) <= 1:
+                if short:
+                    for w in self.beginnings.close(bare):
                         out[w] = max(out.get(w, 0), 0.7)
         if len(self._near) < 100_000:
             self._near[word] = out
         return out
 
-    def score(self, words: list[str], name: Name) -> float:
-        """Soft Jaccard of typed words and the words of a name: each word of the name is met at most once."""
-        left = list(range(len(words)))
+    def _score(self, near: list[dict[str, float]], size: float, k: int) -> float:
+        """Soft Jaccard of typed words, as what they may be, and the words of a name: each word of the name is met at most once."""
+        left = list(range(len(near)))
         total = 0.0
-        for target in sorted(name.words, key=len, reverse=True):
+        for target in self.by_length[k]:
             best, at = 0.0, -1
             for i in left:
-                s = self.near(words[i]).get(target, 1.0 if words[i] == target else 0.0)
+                s = near[i].get(target, 0.0)
                 if s > best:
                     best, at = s, i
             if at >= 0:
                 left.remove(at)
-                total += best * (0.4 if target in SMALL else 1.0)
-        size_a = sum(0.4 if w in SMALL or (len(w) <= 2 and w.isascii()) else 1.0 for w in words)
-        size_b = sum(0.4 if w in SMALL else 1.0 for w in name.words)
-        return total / max(size_a + size_b - total, 1e-9)
+                total += best * weight(target)
+        return total / max(size + self.phrase_join.weights[k] - total, 1e-9)
 
     def _whole(self, words: list[str]) -> list[tuple[float, str]]:
         """Entries by the words of a phrase that is a measure and nothing else."""
-        candidates = {k for w in words for target in self.near(w) for k in self.by_word.get(target, ())}
-        return [(self.score(words, self.names[k]), self.names[k].entry) for k in candidates]
+        near = [self.near(w) for w in words]
+        size = sum(0.4 if w in SMALL or (len(w) <= 2 and w.isascii()) else 1.0 for w in words)
+        targets = set().union(*near)
+        return [(self._score(near, size, k), self.names[k].entry) for k in self.phrase_join.candidates(targets, size, self.repeated)] if targets else []
 
     def _letters(self, letters: str, least: float) -> list[tuple[float, str]]:
         """Entries by the letters of the whole phrase, spaces aside."""
-        return [(s, self.names[k].entry) for s, k in self.letter_join.similar(word_tokens(letters)) if s >= least and abs(len(self.names[k].letters) - len(letters)) <= 3]
+        hit = self._letters_of.get((letters, least))
+        if hit is None:
+            hit = [(s, self.names[k].entry) for s, k in self.letter_join.similar(word_tokens(letters), least) if abs(len(self.names[k].letters) - len(letters)) <= 3]
+            if len(self._letters_of) < 100_000:
+                self._letters_of[letters, least] = hit
+        return hit
 
     @staticmethod
     def _best(found: list[tuple[float, str]], least: float) -> tuple[float, str] | None:
@@ -241,21 +359,31 @@ class Catalog:
             return None
         return ranked[0][1], ranked[0][0]
 
-    @staticmethod
-    def _without_affixes(words: list[str]) -> list[list[str]]:
-        """The phrase without what stands before or behind the measure, each way once."""
-        low, high = 0, len(words)
-        while low < high - 1 and words[low].rstrip(".") in AFFIXES and (words[low] != "self" or words[low + 1] == "rated"):
-            low += 2 if words[low] == "self" else 1
-        while high - 1 > low and words[high - 1].rstrip(".") in AFFIXES:
-            high -= 1
-        return [words[low:high]] if 0 < high - low < len(words) else []
+    def _without_affixes(self, words: list[str]) -> list[list[str]]:
+        """The phrase without what stands before and behind the measure."""
+        bare = [w.rstrip(".") for w in words]
+        low, high = 0, len(bare)
+
+        def longest(at) -> int:
+            return next((n for n in range(min(self.longest_affix, high - low - 1), 0, -1) if at(n) in self.affixes), 0)
+
+        while n := longest(lambda n: tuple(bare[low : low + n])):
+            low += n
+        while n := longest(lambda n: tuple(bare[high - n : high])):
+            high -= n
+        return [words[low:high]] if high - low < len(words) else []
+
+    def beside(self, typed: str) -> list[list[str]]:
+        """One or two words at either end of a value, of which one at least is unlike any word of the catalog."""
+        words = [w.rstrip(".") for w in WORDS.findall(normal(re.sub(PUNCTUATION, " ", typed)))]
+        ends = {tuple(e) for n in (1, 2) if len(words) > n for e in (words[:n], words[-n:])}
+        return [list(e) for e in sorted(ends) if not all(self.near(w) for w in e)]
 
     def value(self, typed: str) -> str:
         """The entry that a typed value means, or ``unmatched``."""
         options: list[list[str]] = []
         for text in dict.fromkeys((typed, HYPHEN.sub("", typed))):
-            words = WORDS.findall(normal(re.sub(r"[_\-/,()\[\]]+", " ", text)))
+            words = WORDS.findall(normal(re.sub(PUNCTUATION, " ", text)))
             if words:
                 options += [words, *self._without_affixes(words)]
         best = None
@@ -283,8 +411,8 @@ class Catalog:
     def _inside(self, text: str) -> str | None:
         tokens = [(m[0], m.start(), m.end()) for m in WORDS.finditer(text)]
         found: list[tuple[float, str]] = []
-        hits = [i for i, (w, _, _) in enumerate(tokens) if self.near(w if not self._ends_sentence(text, tokens, i) else w.rstrip("."))]
-        for i in hits:
+        hits = {i for i, (w, _, _) in enumerate(tokens) if self.near(w if not self._ends_sentence(text, tokens, i) else w.rstrip("."))}
+        for i in sorted(hits):
             for n in range(1, self.longest + 2):
                 j = i + n - 1
                 if j >= len(tokens) or (n > 1 and re.search(r"[^\s\-_/()'’.]", text[tokens[j - 1][2] : tokens[j][1]])):
@@ -326,20 +454,39 @@ def written_forms(catalog: DataFrame) -> list[tuple[str, str]]:
     return sorted(forms)
 
 
-def token_frequency(*texts: tuple[DataFrame, str]) -> dict[str, int]:
-    """How often each padded pair and character occurs in the words of all texts; words are counted first."""
+def token_frequency(*texts: tuple[DataFrame, str], tokens: Iterable[str]) -> dict[str, int]:
+    """How often each of ``tokens``, those of a catalog, occurs in the words of all texts; words are counted first."""
     words = None
     for df, column in texts:
         part = df.select(F.explode(F.regexp_extract_all(F.lower(F.col(column)), F.lit(r"(\p{L}+)"), 1)).alias("w"))
         words = part if words is None else words.unionByName(part)
-    counted = words.groupBy("w").count()
-    padded = F.concat(F.lit("_"), F.col("w"), F.lit("_"))
-    pairs = counted.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(padded, i, F.lit(2))))).alias("t"), "count")
-    single = counted.select(F.explode(F.array_distinct(F.split("w", ""))).alias("t"), "count").select(F.concat("t", F.lit("1")).alias("t"), "count")
-    rows = collect_bounded(pairs.unionByName(single).groupBy("t").agg(F.sum("count").alias("n")), MAX_TOKENS, "the table of tokens")
+    spark = words.sparkSession
+    wanted = spark.createDataFrame([(t,) for t in sorted(tokens)], "t string")
+    padded, at = F.concat(F.lit("_"), F.col("w"), F.lit("_")), F.sequence(F.lit(1), F.length("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(padded, i, F.lit(2)))
+
+    def numbered(i: F.Column) -> F.Column:  # the character with how often it has occurred so far
+        c = F.substring("w", i, F.lit(1))
+        return F.concat(c, (i - F.length(F.replace(F.substring("w", F.lit(1), i), c, F.lit("")))).cast("string"))
+
+    every = F.array_distinct(F.concat(pairs, F.transform(at, numbered), F.array(F.concat(F.lit("="), F.col("w")))))
+    counted = words.groupBy("w").count().select(F.explode(every).alias("t"), "count")
+    rows = collect_bounded(counted.join(F.broadcast(wanted), "t").groupBy("t").agg(F.sum("count").alias("n")), MAX_TOKENS, "the table of tokens")
     return {r["t"]: r["n"] for r in rows}
 
 
+def learnt_affixes(mapped: DataFrame, forms: list[tuple[str, str]]) -> Affixes:
+    """Words at the ends of values that stand beside many measures; ``mapped``: dv and beside, the unknown words at either end.
+
+    A condition or a wave stands beside many measures, a word that makes
+    another measure beside few.
+    """
+    least = max(2, round(AFFIX_SHARE * len({e for e, _ in forms})))
+    beside = mapped.where(F.col("dv") != UNMATCHED).select("dv", F.explode("beside").alias("affix")).groupBy("affix").agg(F.count_distinct("dv").alias("n"))
+    found = {tuple(r["affix"]) for r in collect_bounded(beside.where(F.col("n") >= least).select("affix"), MAX_AFFIXES, "the words beside measures")}
+    return frozenset(a for a in found if len(a) == 1 or not any((w,) in found for w in a))
+
+
 def trie_pattern(terms: list[str]) -> str:
     """One regular expression for all terms in which common beginnings are tried once."""
     root: dict = {}
@@ -368,34 +515,42 @@ def map_values(values: DataFrame, column: str, catalog: DataFrame, frequency: di
     """``column`` and ``dv`` for each distinct value that is neither blank nor a catalog entry itself."""
     spark = values.sparkSession
     forms = written_forms(catalog)
-    shared = spark.sparkContext.broadcast((forms, frequency if frequency is not None else token_frequency((values, column))))
-    blank = F.col(column).isNull() | (F.trim(F.regexp_replace(column, r"[\s ]", "")) == "")
+    frequency = frequency if frequency is not None else token_frequency((values, column), tokens=catalog_tokens(forms))
+    blank = F.col(column).isNull() | (F.trim(F.regexp_replace(column, r"[\s ]", "")) == "")
     typed = values.where(~blank).select(column).distinct()
     entries = spark.createDataFrame([(e,) for e in sorted({e for e, _ in forms})], f"`{column}` string")
-    typed = typed.join(F.broadcast(entries), [column], "left_anti")
+    typed = shuffled(typed.join(F.broadcast(entries), [column], "left_anti"))
 
-    @F.pandas_udf("string")
-    def meant(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Catalog(*shared.value)
-        for batch in batches:
-            yield pd.Series([known.value(v) for v in batch], dtype=object)
+    def mapping(affixes: Affixes):
+        shared, key = spark.sparkContext.broadcast((forms, frequency, affixes)), uuid.uuid4().hex
+
+        @F.pandas_udf("dv string, beside array<array<string>>")
+        def meant(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            known = once_per_worker(key, lambda: Catalog(*shared.value))
+            for batch in batches:
+                yield pd.DataFrame({"dv": [known.value(v) for v in batch], "beside": [known.beside(v) for v in batch]})
+
+        return meant
 
-    return typed.withColumn("dv", meant(column))
+    first = checkpointed(typed.select(column, mapping(frozenset())(column).alias("_m")).select(column, "_m.*"))
+    affixes = learnt_affixes(first, forms)
+    again = first.where(F.col("dv") == UNMATCHED).select(column, mapping(affixes)(column).alias("_m")).select(column, "_m.dv")
+    return first.where(F.col("dv") != UNMATCHED).select(column, "dv").unionByName(again)
 
 
 def named_measures(texts: DataFrame, id_column: str, column: str, catalog: DataFrame, frequency: dict[str, int] | None = None, pairs: dict[str, int] | None = None) -> DataFrame:
     """``id_column`` and ``dv`` of texts that name a measure although they contain no written form of the catalog."""
     spark = texts.sparkSession
     forms = written_forms(catalog)
-    frequency = frequency if frequency is not None else token_frequency((texts, column))
+    frequency = frequency if frequency is not None else token_frequency((texts, column), tokens=catalog_tokens(forms))
     pairs = pairs if pairs is not None else character_pairs(texts, column)
-    shared = spark.sparkContext.broadcast((forms, frequency, pairs))
+    shared, key = spark.sparkContext.broadcast((forms, frequency, pairs)), uuid.uuid4().hex
     rows = spread(texts.select(id_column, column)).where(F.col(column).isNotNull() & ~_verbatim(F.col(column), forms))
 
     @F.pandas_udf("string")
     def named(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         forms_, frequency_, pairs_ = shared.value
-        known, plainer = Catalog(forms_, frequency_), Plainer(pairs_)
+        known, plainer = once_per_worker(key, lambda: (Catalog(forms_, frequency_), Plainer(pairs_)))
         for batch in batches:
             yield pd.Series([known.inside(plainer.plain(t)) for t in batch], dtype=object)
 
@@ -407,7 +562,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = spark.read.parquet(f"{sf_dir}/dv_catalog.parquet")
     results = spark.read.parquet(f"{sf_dir}/verification_results.parquet").select(F.col("id").alias("record_id"), "matched_dv")
     claims = spark.read.parquet(f"{sf_dir}/numerical_claims.parquet").select(F.col("id").alias("record_id"), "context_snippet")
-    frequency = token_frequency((results, "matched_dv"), (claims, "context_snippet"))
+    frequency = token_frequency((results, "matched_dv"), (claims, "context_snippet"), tokens=catalog_tokens(written_forms(catalog)))
     mapped = map_values(results, "matched_dv", catalog, frequency)
     typed = results.join(mapped, ["matched_dv"]).select(F.lit("verification_results").alias("record_table"), "record_id", "dv")
     named = named_measures(claims, "record_id", "context_snippet", catalog, frequency).select(F.lit("numerical_claims").alias("record_table"), "record_id", "dv")

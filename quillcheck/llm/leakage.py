@@ -21,6 +21,7 @@ blank texts contain nothing.  A repeated item id counts once per text.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillcheck.session import collect_bounded, spread
+from quillcheck.session import collect_bounded, once_per_worker, spread
 
 SEED_WORDS = 5
 MIN_WORDS = 15
@@ -296,13 +297,13 @@ def find_leaks(documents: DataFrame, items: DataFrame, id_column: str = "doc_id"
     """Passages: ``id_column``, ``item_id``, ``start_pos`` and ``end_pos`` (code points of the text, end exclusive)."""
     spark = documents.sparkSession
     rows = collect_bounded(items.where(F.col(text_column).isNotNull()).select(item_column, text_column).distinct(), MAX_ITEMS, "the table of test items")
-    shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[0], r[1]))])
+    shared, version = spark.sparkContext.broadcast([(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[0], r[1]))]), uuid.uuid4().hex
     source = spread(documents.select(F.col(id_column), F.col(text_column).alias("_text")))
     source = source.where(F.col("_text").rlike(r"\S"))
     id_type = source.schema[id_column].dataType.simpleString()
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Items(shared.value)
+        known = once_per_worker(version, lambda: Items(shared.value))
         ids = known.ids
 
         def closed(shard: list, spans: dict) -> pd.DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillcheck.session import collect_bounded, spread
+from quillcheck.session import collect_bounded, once_per_worker, spread
 
 # Characters and the plain ones they are mistaken for.
 LOOK_ALIKES = {
@@ -49,7 +50,9 @@ LOOK_ALIKES = {
 MARKS = {"‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "﹣": "-", "－": "-", "⁃": "-", "‘": "'", "’": "'", "‚": "'", "′": "'", "“": '"', "”": '"', "„": '"', "″": '"', "∗": "*", "⁎": "*", "∼": "~", "⁄": "/", "∕": "/", "ˆ": "^", "∶": ":", "։": ":", "․": ".", "꞊": "=", "՝": "'"}
 SYMBOLS = "βαρη²−«»"
 #: Characters whose bare presence needs no closer look; the rest is examined.
-SAFE = r"^[\x20-\x7E가-힣βαρη²−«»À-ÖØ-Þà-öø-İĲ-ſ]*$"
+#: Of the accented letters those are left out that compatibility normalisation takes apart (ĳ ŀ ŉ ſ) and the sharp s and dotless i, which others look like.
+ACCENTED = "À-ÖØ-Þà-öø-İĴ-ľŁ-ňŊ-ž"
+SAFE = rf"^[\x20-\x7E가-힣βαρη²−«»{ACCENTED}]*$"
 #: Greek symbols inside a word, or the sharp s, are letters read as others.
 SYMBOL_IN_WORD = r"[βαρη][\p{L}\p{Nd}]|[\p{L}][βαρη]|ß"
 LATTICE_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -157,7 +160,7 @@ def character_pairs(texts: DataFrame, *columns: str) -> dict[str, int]:
     counts if it is Latin, a single statistic symbol, or of one other script
     with at least one character that nothing plain looks like.
     """
-    latin = r"^[A-Za-zÀ-ÖØ-öø-İĲ-ſ]+$"
+    latin = rf"^[A-Za-zß{ACCENTED}]+$"
     lone = "".join(c for c in LOOK_ALIKES if script_of(c) in ("greek", "cyrillic", "armenian"))
     foreign = [rf"^\p{{{s}}}*[\p{{{s}}}&&[^{lone}]]\p{{{s}}}*$" for s in ("IsCyrillic", "IsGreek", "IsArmenian")]
     words = None
@@ -182,14 +185,14 @@ def suspicious(column: F.Column) -> F.Column:
 def plain_forms(texts: DataFrame, id_column: str, columns: tuple[str, ...]) -> DataFrame:
     """(id, field_name, text, plain_text) of every field that is not in plain form."""
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(character_pairs(texts, *columns))
+    shared, key = spark.sparkContext.broadcast(character_pairs(texts, *columns)), uuid.uuid4().hex
     fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in columns])).alias("_field")
     rows = texts.select(F.col(id_column), fields).select(id_column, "_field.field_name", "_field.text")
     rows = spread(rows).where(F.col("text").isNotNull() & suspicious(F.col("text")))
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        plainer = Plainer(shared.value)
+        plainer = once_per_worker(key, lambda: Plainer(shared.value))
         for batch in batches:
             yield pd.Series([None if plainer.is_plain(t) else plainer.plain(t) for t in batch], dtype=object)
 
