@@ -324,72 +324,88 @@ def surname_only(name: str | None) -> bool:
     return bool(readings) and not readings[0].given and not readings[0].is_organisation
 
 
-def segments(key: str, k: int) -> list[tuple[int, str]]:
-    """``key`` cut into k + 1 segments of nearly equal length: (start, segment)."""
-    n, parts = len(key), k + 1
-    out, at = [], 0
+def segments(n: int, k: int) -> list[tuple[int, int]]:
+    """``n`` letters cut into k + 1 segments of nearly equal length: (start, size)."""
+    parts, out, at = k + 1, [], 0
     for i in range(parts):
         size = n // parts + (1 if i >= parts - n % parts else 0)
-        out.append((at, key[at : at + size]))
+        out.append((at, size))
         at += size
     return out
 
 
 def index_keys(key: str, k: int) -> set[str]:
-    """Entries of an inverted index: the segments of a key, with its length and their number."""
-    return {f"{len(key)}|{i}|{s}" for i, (_, s) in enumerate(segments(key, k)) if s}
+    """Entries of an inverted index: the segments of a key, with its length and their number.
 
-
-def probe_keys(key: str, k: int, shift: int) -> set[str]:
-    """Entries under which every key is found whose edits leave one of k + 1 segments whole: substrings at shifted positions.
-
-    At most ``k`` of the segments can be damaged (pigeonhole), and the one that
-    is left moves by at most ``shift`` places, as the lengths differ by no more.
+    A swap of neighbours across a cut would damage two segments by one edit, so
+    the segments of the key with such letters swapped are entries as well.
+    """
+    parts = segments(len(key), k)
+    swapped = {key}
+    for at, _ in parts[1:]:
+        if at and key[at - 1] != key[at]:
+            swapped |= {v[: at - 1] + v[at] + v[at - 1] + v[at + 1 :] for v in swapped}
+    return {f"{k}|{len(key)}|{i}|{v[at : at + size]}" for v in swapped for i, (at, size) in enumerate(parts)}
+
+
+def probe_keys(key: str, k: int, shortest: int, longest: int) -> set[str]:
+    """Entries under which every key of ``shortest`` to ``longest`` letters is found that lies within ``k`` edits.
+
+    At most ``k`` of the k + 1 segments can be damaged (pigeonhole).  A whole
+    segment with i segments before it need only be looked up where it has moved
+    by at most i places, seen from the left, and by at most k - i, seen from
+    the right: were it moved further, its side would hold so many edits that
+    another segment on the other side is whole.
     """
-    out = set()
-    for n in range(max(1, len(key) - shift), len(key) + shift + 1):
-        at = 0
-        for i in range(k + 1):
-            size = n // (k + 1) + (1 if i >= (k + 1) - n % (k + 1) else 0)
-            if size:
-                for start in range(max(0, at - shift), min(len(key) - size, at + shift) + 1):
-                    out.add(f"{n}|{i}|{key[start : start + size]}")
-            at += size
+    out, m = set(), len(key)
+    for n in range(max(shortest, m - k), min(longest, m + k) + 1):
+        for i, (at, size) in enumerate(segments(n, k)):
+            low = max(0, at - i, at + m - n - (k - i))
+            high = min(m - size, at + i, at + m - n + (k - i))
+            out.update(f"{k}|{n}|{i}|{key[start : start + size]}" for start in range(low, high + 1))
     return out
 
 
-#: Two slips; a swap of neighbours across a cut damages two segments, hence twice as many segments as slips, and one more.
-SLIPS = 2
-SEGMENT_EDITS = 4
+#: Lengths of keys by the slips that ``slips`` allows: pairs whose shorter key has fewer than six letters have one.
+SHORT, LONG, ENDLESS = 3, 6, 1 << 30
+
+
+def key_entries(key: str) -> set[str]:
+    """Index entries of a key, for the slips that keys of about its length may have."""
+    if len(key) < SHORT:
+        return {f"0|{key}"}
+    return (index_keys(key, 1) if len(key) <= LONG else set()) | (index_keys(key, 2) if len(key) >= LONG else set())
+
+
+def key_lookups(key: str) -> set[str]:
+    """Lookups that meet an index entry of every key that ``slips`` allows to be the same."""
+    if len(key) < SHORT:
+        return {f"0|{key}"}
+    return (probe_keys(key, 1, SHORT, LONG) if len(key) <= LONG else set()) | (probe_keys(key, 2, LONG, ENDLESS) if len(key) >= LONG else set())
 
 
 def _lookup_keys(a: Author) -> list[str]:
     """The strings of a reading that must come near: the key, and for double surnames the halves."""
-    if a.is_organisation:
-        return [a.words[0]]
-    if not a.parts:
+    if a.is_organisation or not a.parts:
         return [a.key]
     return [a.key, a.parts[0], "".join(a.parts[1:])]
 
 
+def _acronyms(a: Author) -> set[str]:
+    """The first letters of an organisation's words, also without one of them, which may be mistyped; a short key may be such letters."""
+    if not a.is_organisation:
+        return {f"acronym|{a.key}"} if len(a.key) <= 6 else set()
+    letters = a.acronym
+    return {f"acronym|{letters}", *(f"acronym|{letters[:i]}?{letters[i + 1 :]}" for i in range(len(letters)))}
+
+
 @lru_cache(maxsize=20_000)
 def name_index(name: str | None) -> list[str]:
     """Index entries of a typed name over all its readings, acronyms included."""
-    out: set[str] = set()
-    for a in read_name(name):
-        for key in _lookup_keys(a):
-            out |= index_keys(key, SEGMENT_EDITS)
-        if a.is_organisation or len(a.key) <= 6:
-            out.add(f"acronym|{a.acronym if a.is_organisation else a.key}")
-    return sorted(out)
+    return sorted({e for a in read_name(name) for key in _lookup_keys(a) for e in key_entries(key)} | {e for a in read_name(name) for e in _acronyms(a)})
 
 
 @lru_cache(maxsize=10_000)
 def name_probe(name: str | None) -> list[str]:
     """Lookups of a typed name; it shares at least one with the index entries of every name that may equal it."""
-    out: set[str] = set()
-    for a in read_name(name):
-        for key in _lookup_keys(a):
-            out |= probe_keys(key, SEGMENT_EDITS, SLIPS)
-        out.add(f"acronym|{a.acronym if a.is_organisation else a.key}")
-    return sorted(out)
+    return sorted({e for a in read_name(name) for key in _lookup_keys(a) for e in key_lookups(key)} | {e for a in read_name(name) for e in _acronyms(a)})

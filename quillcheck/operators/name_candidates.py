@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillcheck.functions import names
+from quillcheck.session import shuffled
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -48,10 +49,9 @@ def matching_names(probes: DataFrame, indexed: DataFrame, scope: list[str]) -> D
     entry are compared.  Null and blank names match nothing.
     """
     present = F.col("name").isNotNull() & (F.trim("name") != "")
-    # few rows become many entries here, so the distinct names are spread over all shuffle partitions
-    spread = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = probes.where(present).select(*scope, "name").distinct().repartition(spread)
-    right = indexed.where(present).select(*scope, "name").distinct()
+    # few rows become many entries here
+    left = shuffled(probes.where(present).select(*scope, "name").distinct())
+    right = shuffled(indexed.where(present).select(*scope, "name").distinct())
     hashed = [F.col(c) for c in scope]
     keyed_left = left.select(*scope, F.col("name").alias("probe_name"), F.explode(probe_entries("name")).alias("_entry")).withColumn("_key", F.xxhash64(*hashed, "_entry")).drop("_entry")
     keyed_right = right.select(*scope, F.col("name").alias("indexed_name"), F.explode(index_entries("name")).alias("_entry")).withColumn("_key", F.xxhash64(*hashed, "_entry")).drop("_entry")

@@ -196,8 +196,27 @@ def test_edit_distance_and_segments():
         b = "".join(rng.choice("abcd") for _ in range(rng.randrange(0, 9)))
         want = full(a, b)
         assert N.edit_distance(a, b, 2) == min(3, want)
-        if 0 < want <= 2 and min(len(a), len(b)) >= 6:
-            assert N.index_keys(a, 4) & N.probe_keys(b, 4, 2)
+
+
+def test_segments_lose_no_pair_within_the_slips():
+    """Insertions, deletions, substitutions and swaps, also across the cuts: every pair that verification would accept shares an entry."""
+    import random
+
+    rng, seen = random.Random(6), 0
+
+    def slip(k):
+        i = rng.randrange(len(k) + 1)
+        return rng.choice((k[:i] + rng.choice("abc") + k[i:], k[:i] + k[i + 1 :], k[:i] + rng.choice("abc") + k[i + 1 :], k[:i] + k[i + 1 : i + 2] + k[i : i + 1] + k[i + 2 :]))
+
+    for _ in range(40_000):
+        a = "".join(rng.choice("abcdef"[: rng.choice((2, 3, 6))]) for _ in range(rng.randrange(1, 16)))
+        b = a
+        for _ in range(rng.randrange(0, 3)):
+            b = slip(b)
+        if b and N.edit_distance(a, b, most := N.slips(min(a, b, key=len))) <= most:
+            seen += 1
+            assert N.key_entries(a) & N.key_lookups(b) and N.key_entries(b) & N.key_lookups(a), (a, b)
+    assert seen > 20_000
 
 
 def test_empty_tables(spark, small):
