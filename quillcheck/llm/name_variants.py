@@ -25,8 +25,9 @@ def author_of_names(entries: DataFrame) -> DataFrame:
     """``manuscript_id, name, author`` for every distinct entry name; ``author`` is the leading spelling.
 
     ``entries`` has ``manuscript_id`` and ``name``.  A name follows the most
-    frequent of its near spellings; following leaders twice reaches the common
-    spelling, because slips are slips of that one.
+    frequent of its near spellings, ties by the name itself, so following never
+    turns in a circle.  Leaders are followed until nothing changes; every round
+    doubles the steps taken.
     """
     counted = checkpointed(entries.where(F.col("name").isNotNull()).groupBy("manuscript_id", "name").agg(F.count("*").alias("n")))
     near = matching_names(counted, counted, ["manuscript_id"]).where(F.col("probe_name") != F.col("indexed_name"))
@@ -35,10 +36,12 @@ def author_of_names(entries: DataFrame) -> DataFrame:
     own = counted.select("manuscript_id", "name", F.col("name").alias("to"), "n")
     leader = options.unionByName(own).groupBy("manuscript_id", "name").agg(F.max_by("to", F.struct("n", "to")).alias("author"))
     leader = checkpointed(leader)
-    for _ in range(2):
-        onward = leader.select("manuscript_id", F.col("name").alias("author"), F.col("author").alias("_next"))
-        leader = leader.join(onward, ["manuscript_id", "author"]).select("manuscript_id", "name", F.col("_next").alias("author"))
-    return checkpointed(leader)
+    while True:
+        onward = leader.where(F.col("name") != F.col("author")).select("manuscript_id", F.col("name").alias("author"), F.col("author").alias("_next"))
+        followed = checkpointed(leader.join(onward, ["manuscript_id", "author"], "left"))
+        leader = followed.select("manuscript_id", "name", F.coalesce("_next", "author").alias("author"))
+        if followed.where(F.col("_next").isNotNull()).isEmpty():
+            return leader
 
 
 def link_variants(entries: DataFrame, citations: DataFrame) -> DataFrame:

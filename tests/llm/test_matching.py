@@ -167,6 +167,16 @@ def test_scan_of_nothing(spark):
 # --- author variants --------------------------------------------------------------
 
 
+def test_long_chains_of_spellings_have_one_author(spark):
+    """Each spelling is near to the next, more frequent one only."""
+    names = ["Abcdefghijkl"]
+    for i in range(0, 12, 2):
+        names.append(names[-1][:i] + "xy" + names[-1][i + 2 :])
+    rows = [("m", n) for k, n in enumerate(names) for _ in range(k + 1)] + [("m", "Qrstuvwz"), ("m", None), ("n", names[0])]
+    got = {(r.manuscript_id, r.name): r.author for r in V.author_of_names(spark.createDataFrame(rows, "manuscript_id string, name string")).collect()}
+    assert got == {("m", n): names[-1] for n in names} | {("m", "Qrstuvwz"): "Qrstuvwz", ("n", names[0]): names[0]}
+
+
 def test_variants_against_brute_force(spark):
     entries = [
         ("e1", "m", "Zhaestelo", "Zhaestelo, E. F., & Moe, A."), ("e2", "m", "E. F. Zhaestelo", "E. F. Zhaestelo, & Moe, A."), ("e3", "m", "Zhaestelo", "Zhaestelo, Beth, & Moe, A."), ("e4", "m", "Zhaestelos", "Zhaestelos, R. Q."),
