@@ -40,8 +40,8 @@ TIMES = 8
 NAME_TIMES = 24
 #: Share of all words from which a form or a sequence is known, and its floor in small corpora; a leading form needs twice as much.
 KNOWN, KNOWN_FLOOR = 1.5e-6, 2
-#: Share of all words from which a form is frequent; at most 1 / FREQUENT forms can be.
-FREQUENT = 1e-5
+#: Share of all words from which a form is frequent, and its floor in small corpora; at most 1 / FREQUENT forms can be.
+FREQUENT, FREQUENT_FLOOR = 1e-5, 100
 #: Share of all texts in which a masked line stands that is a header, and its floor in small corpora.
 SHARED, SHARED_FLOOR = 5e-4, 4
 KEY = ("text_id",)
@@ -174,8 +174,8 @@ def misread_words(prose: DataFrame) -> DataFrame:
     rare = forms.where(is_rare).select("form", F.col("lead.form").alias("meant"))
 
     # a frequent form is judged as a form; of the others every occurrence is looked at
-    frequent = forms.where((F.col("n") >= FREQUENT * total) & ~is_rare).select("form", "n", "skeleton")
-    words = stored(_occurrences(prose).join(F.broadcast(frequent.select("form")), ["form"], "left_anti"))
+    frequent = forms.where((F.col("n") >= max(FREQUENT_FLOOR, FREQUENT * total)) & ~is_rare).select("form")
+    words = stored(_occurrences(prose).join(F.broadcast(frequent), ["form"], "left_anti"))
     whole = words.where(~F.col("form").contains(JOINT) & F.col("form").rlike(WHOLE))
 
     # letters among digits and digits among letters
@@ -205,15 +205,17 @@ def misread_words(prose: DataFrame) -> DataFrame:
     wrong = asked.join(_pairs(prose, lambda w: w), ["h"], "left_semi").select(*KEY, "word", "meant")
 
     # two known words that follow each other elsewhere, without their space: every way to part the skeleton is looked up
-    unknown = forms.where((F.col("n") < FREQUENT * total) | is_rare).select("form", "n", "skeleton").unionByName(lone.select("form", "n", "skeleton").distinct()).where(F.length("form") >= 5)
+    unknown = forms.select("form", "n", "skeleton").unionByName(lone.select("form", "n", "skeleton").distinct()).where(F.length("form") >= 5)
     cut = F.transform(F.sequence(F.lit(1), F.length("skeleton") - 1), lambda i: F.struct(F.substring("skeleton", F.lit(1), i).alias("first"), F.substring("skeleton", i + 1, F.length("skeleton")).alias("second")))
     halves = unknown.select("form", "n", F.inline(cut)).withColumn("h", F.xxhash64("first", "second"))
     hits = halves.join(_pairs(prose, skeleton), ["h"]).where(F.col("n_pair") >= F.greatest(2 * F.greatest("n", F.lit(1)), F.lit(known_from)))
     best = hits.groupBy("form").agg(F.max_by(F.struct("first", "second"), F.struct("n_pair", "first")).alias("p")).select("form", "p.*")
     lead_of = lambda c, to: forms.where(F.col("form") == F.col("lead.form")).select(F.col("skeleton").alias(c), F.col("form").alias(to))
     unspaced = best.join(lead_of("first", "a"), ["first"]).join(lead_of("second", "b"), ["second"])
-    unspaced = unspaced.where((F.col("form") == F.concat("a", "b")) | (F.length("form") >= 8)).select("form", F.concat_ws(" ", "a", "b").alias("meant"))
+    unspaced = checkpointed(unspaced.where((F.col("form") == F.concat("a", "b")) | (F.length("form") >= 8)).select("form", F.concat_ws(" ", "a", "b").alias("meant")))
     glued = whole.select(*KEY, "word", "form").unionByName(lone.select(*KEY, "word", "form")).join(unspaced, ["form"]).select(*KEY, "word", "meant")
+    often = F.broadcast(unspaced.join(F.broadcast(frequent), ["form"], "left_semi"))  # some of the frequent forms
+    glued = glued.unionByName(_occurrences(prose).join(often, ["form"]).select(*KEY, "word", "meant"))
     mixed = mixed.join(leading, ["skeleton"], "left").select(*KEY, "word", F.coalesce("number", "meant").alias("meant"))
     return mixed.unionByName(odd).unionByName(wrong).unionByName(glued)
 
