@@ -1,23 +1,25 @@
-"""References to records that do not exist, were deleted or come later.
-
-Deliveries of a key are intervals from ``loaded_at`` to ``deleted_at``.  For an
-event the question is only whether the latest end among the deliveries loaded
-up to it lies behind it, so a running maximum decides; no event is paired with
-every delivery.  Keys are cut into days: ends are pre-aggregated per key and
-day and carried forward over the days of a key, and within a day events and
-deliveries are merged.  A key that holds a third of all rows is thereby
-divided over its days.
-
-Along a graph of foreign keys the orphans spread: children of orphaned records
-are indirect orphans.  ``cascade`` starts from the references that
-``orphan_references`` finds and from other keys that name no record, and
-iterates joins with the orphans until nothing is added, cutting the lineage by
-checkpoints in the shared folder.
+"""References to records that do not exist, were deleted or come later, and what hangs on them.
+
+``cascade`` is a fixpoint over a graph of foreign keys.  Its first round finds
+the direct orphans: keys that name no record, keys whose record was not live at
+the event, and references by author and year that nothing answers.  Children of
+orphaned records are inherited orphans; joins down the graph run until a round
+adds nothing, only along edges whose parents were added in the round before, and
+the lineage is cut by checkpoints in the shared folder.
+
+Where records have lifetimes, deliveries of a key are intervals from
+``loaded_at`` to ``deleted_at``.  For an event the question is only whether the
+latest end among the deliveries loaded up to it lies behind it, so a running
+maximum decides; no event is paired with every delivery.  All events of a key at
+one instant have one answer, so distinct instants are judged.  They are cut into
+minutes: ends are pre-aggregated per key and minute and carried forward over the
+minutes of a key, and within a minute instants are merged.  A key that holds a
+third of all rows is thereby divided.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ from quillcheck.session import checkpointed
 
 #: End of a delivery that was never deleted.
 FOREVER = "9999-12-31 00:00:00"
+#: Microseconds of a minute.
+MINUTE = 60_000_000
 
 
 def key_of(column: str) -> Column:
@@ -43,32 +47,24 @@ def late_or_missing(events: DataFrame, deliveries: DataFrame) -> DataFrame:
     nothing as loaded before it.  A delivery without ``loaded_at`` makes its key
     known but is never live.  Null keys are no events.
     """
-    carried = [c for c in events.columns if c not in ("key", "at")]
-    ends = deliveries.where(F.col("key").isNotNull()).select("key", "loaded_at", F.coalesce("deleted_at", F.lit(FOREVER).cast("timestamp")).alias("until")).distinct()
-    marks = ends.select("key", F.col("loaded_at").alias("at"), "until", F.lit(0).alias("kind"), F.lit(None).cast(_struct_type(events, carried)).alias("event"))
-    asked = events.where(F.col("key").isNotNull()).select("key", "at", F.lit(None).cast("timestamp").alias("until"), F.lit(1).alias("kind"), F.struct(*carried).alias("event"))
-    rows = marks.unionByName(asked).withColumn("day", F.to_date("at"))
-
-    daily = rows.groupBy("key", "day").agg(F.max("until").alias("day_until"), F.max(F.col("kind") == 0).alias("day_known"))
-    by_key = Window.partitionBy("key").orderBy(F.col("day").asc_nulls_first())
-    earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
-    carry = daily.select("key", "day", F.max(F.when(F.col("day").isNotNull(), F.col("day_until"))).over(earlier).alias("before_until"), F.max("day_known").over(Window.partitionBy("key")).alias("known"))
-    asking = rows.where("kind = 1").select("key", "day").distinct()
-    carry = carry.join(asking, (carry["key"] == asking["key"]) & carry["day"].eqNullSafe(asking["day"]), "left_semi")
-
-    # events without a time see nothing before them, so they need no common partition
-    rows = rows.withColumn("salt", F.when(F.col("day").isNull(), F.pmod(F.xxhash64("event", "kind"), F.lit(64))).otherwise(0))
-    within = Window.partitionBy("key", "day", "salt").orderBy(F.col("at").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("today_until", F.when(F.col("day").isNotNull(), F.max("until").over(within))).where("kind = 1")
-    joined = placed.join(carry.withColumnRenamed("key", "_k").withColumnRenamed("day", "_d"), (F.col("key") == F.col("_k")) & F.col("day").eqNullSafe(F.col("_d")))
-    until = F.greatest("before_until", "today_until")
+    ends = deliveries.where(F.col("key").isNotNull()).groupBy("key", F.col("loaded_at").alias("at")).agg(F.max(F.coalesce("deleted_at", F.lit(FOREVER).cast("timestamp"))).alias("until"))
+    asked = events.where(F.col("key").isNotNull()).select("key", "at").distinct()
+    points = ends.withColumn("asked", F.lit(False)).unionByName(asked.select("key", "at", F.lit(None).cast("timestamp").alias("until"), F.lit(True).alias("asked")))
+    points = points.withColumn("cut", F.floor(F.unix_micros("at") / F.lit(MINUTE)))
+
+    cuts = points.groupBy("key", "cut").agg(F.max("until").alias("cut_until"), F.max(~F.col("asked")).alias("cut_known"), F.max("asked").alias("cut_asked"))
+    earlier = Window.partitionBy("key").orderBy(F.col("cut").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.max(F.when(F.col("cut").isNotNull(), F.col("cut_until"))).over(earlier)
+    carry = cuts.select(F.col("key").alias("_k"), F.col("cut").alias("_c"), "cut_asked", carried.alias("before"), F.max("cut_known").over(Window.partitionBy("key")).alias("known")).where("cut_asked")
+
+    within = Window.partitionBy("key", "cut").orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = points.withColumn("here", F.when(F.col("cut").isNotNull(), F.max("until").over(within))).where("asked")
+    joined = placed.join(carry, (F.col("key") == F.col("_k")) & F.col("cut").eqNullSafe(F.col("_c")))
+    until = F.greatest("before", "here")
     orphaned = joined.where(until.isNull() | (until <= F.col("at")) | F.col("at").isNull())
     reason = F.when(~F.col("known"), "missing").when(until.isNotNull() & F.col("at").isNotNull(), "deleted").otherwise("late")
-    return orphaned.select("key", "at", reason.alias("reason"), "event.*")
-
-
-def _struct_type(df: DataFrame, columns: list[str]):
-    return df.select(F.struct(*columns).alias("s")).schema["s"].dataType
+    answers = orphaned.select(F.col("key").alias("_k"), F.col("at").alias("_at"), reason.alias("reason"))
+    return events.join(answers, (F.col("key") == F.col("_k")) & F.col("at").eqNullSafe(F.col("_at"))).drop("_k", "_at")
 
 
 def period(at: str) -> Column:
@@ -80,8 +76,8 @@ def period(at: str) -> Column:
 def unmatched_citations(citations: DataFrame, entries: DataFrame) -> DataFrame:
     """Citations without a key that no entry of their manuscript answers by author, year and suffix.
 
-    Equal keys of letters are matched first; only what is left goes through the
-    search for variant spellings, within the same manuscript, year and suffix.
+    Surnames alone with equal letters are matched first; only what is left goes
+    through the search for variant spellings, within the same manuscript, year and suffix.
     A citation without author, year or manuscript is answered by nothing.
     """
     scope = ["manuscript_id", "year", "suffix"]
@@ -91,7 +87,7 @@ def unmatched_citations(citations: DataFrame, entries: DataFrame) -> DataFrame:
     )
     held = entries.select("manuscript_id", F.col("ref_year").alias("year"), suffix.alias("suffix"), "first_author_last", "authors_raw").distinct()
     direct = held.select(*scope, exact_key(F.col("first_author_last")).alias("letters")).where("letters <> ''").distinct()
-    asked = asked.withColumn("letters", exact_key(F.col("name")))
+    asked = asked.withColumn("letters", F.when(~F.contains("name", F.lit(",")), exact_key(F.col("name"))))  # a given name is left to the search
     answered = asked.join(direct, [*scope, "letters"], "left_semi").select("id").distinct()
     rest = asked.join(answered, ["id"], "left_anti")
     wanted = rest.select(*scope).distinct()
@@ -101,105 +97,131 @@ def unmatched_citations(citations: DataFrame, entries: DataFrame) -> DataFrame:
     return citations.join(answered.unionByName(also), ["id"], "left_anti")
 
 
-def orphan_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``record_table, record_id, via, reason, period`` of citations and files whose reference does not exist, was deleted or comes later.
-
-    ``via`` is the column that refers: ``ref_id``, or ``first_author_last`` where that is blank.
-    """
-    entries = spark.read.parquet(f"{sf_dir}/reference_entries.parquet")
-    citations = spark.read.parquet(f"{sf_dir}/in_text_citations.parquet").select("id", "manuscript_id", "first_author_last", "cite_year", "year_suffix", "year_alt", "cited_at", key_of("ref_id").alias("key"))
-    files = spark.read.parquet(f"{sf_dir}/source_pdfs.parquet").select("id", "extracted_at", key_of("ref_id").alias("key"))
-    events = citations.select("key", F.col("cited_at").alias("at"), F.lit("in_text_citations").alias("record_table"), F.col("id").alias("record_id"))
-    events = events.unionByName(files.select("key", F.col("extracted_at").alias("at"), F.lit("source_pdfs").alias("record_table"), F.col("id").alias("record_id")))
-    deliveries = entries.select(key_of("id").alias("key"), "loaded_at", "deleted_at")
-    keyed = late_or_missing(events, deliveries).select("record_table", "record_id", F.lit("ref_id").alias("via"), "reason", period("at").alias("period"))
-    blank = citations.where(F.col("key").isNull())
-    unmatched = unmatched_citations(blank, entries).select(F.lit("in_text_citations").alias("record_table"), F.col("id").alias("record_id"), F.lit("first_author_last").alias("via"), F.lit("missing").alias("reason"), period("cited_at").alias("period"))
-    return keyed.unionByName(unmatched)
-
-
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations and library files whose reference does not exist, was deleted or comes later, with the month."""
-    return orphan_references(spark, sf_dir).drop("via").distinct()
-
-
-def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orphan references per table, month and reason."""
-    return p5_found(spark, sf_dir).groupBy("record_table", "period", "reason").agg(F.count("*").alias("n_records"))
-
-
 @dataclass(frozen=True)
 class ForeignKey:
-    """``child.column`` refers to ``parent.id``; a null or blank value refers to nothing."""
+    """``child.column`` refers to ``parent.id``; a null or blank value refers to nothing.
+
+    ``lifetime``: the parent's records are live from loaded_at to deleted_at
+    only.  ``by_author``: a child whose ``column`` is blank refers by its first
+    author and year to a record of the same manuscript.
+    """
 
     child: str
     column: str
     parent: str
+    lifetime: bool = False
+    by_author: bool = False
 
 
+#: References to entries, the ones that p5_found reports.
+REFERENCES = (ForeignKey("in_text_citations", "ref_id", "reference_entries", lifetime=True, by_author=True), ForeignKey("source_pdfs", "ref_id", "reference_entries", lifetime=True))
 #: Foreign keys of the reference domain.
 GRAPH = (
     ForeignKey("numerical_claims", "manuscript_id", "manuscripts"),
     ForeignKey("reference_entries", "manuscript_id", "manuscripts"),
     ForeignKey("in_text_citations", "manuscript_id", "manuscripts"),
-    ForeignKey("in_text_citations", "ref_id", "reference_entries"),
-    ForeignKey("source_pdfs", "ref_id", "reference_entries"),
+    *REFERENCES,
     ForeignKey("paraphrase_matches", "citation_id", "in_text_citations"),
     ForeignKey("paraphrase_matches", "ref_id", "reference_entries"),
 )
-
-
 #: When a record refers; records of other tables take the month of the orphan they hang on.
 EVENT_TIMES = {"numerical_claims": "extracted_at", "reference_entries": "loaded_at", "in_text_citations": "cited_at", "source_pdfs": "extracted_at"}
+ORPHAN = ["record_table", "record_id", "via", "reason", "period"]
 
 
 def _children(tables: dict[str, DataFrame], edge: ForeignKey) -> DataFrame:
-    """``record_table, record_id, via, own_period`` and the key ``_c`` of the records that refer along an edge."""
+    """``record_table, record_id, via, at`` and the ``key`` of the records that refer along an edge."""
     time = EVENT_TIMES.get(edge.child)
-    own = period(time) if time in tables[edge.child].columns else F.lit(None).cast("string")
-    rows = tables[edge.child].select(F.lit(edge.child).alias("record_table"), F.col("id").alias("record_id"), F.lit(edge.column).alias("via"), own.alias("own_period"), key_of(edge.column).alias("_c"))
-    return rows.where("_c is not null").distinct()
+    at = F.col(time) if time in tables[edge.child].columns else F.lit(None).cast("timestamp")
+    rows = tables[edge.child].select(F.lit(edge.child).alias("record_table"), F.col("id").alias("record_id"), F.lit(edge.column).alias("via"), at.alias("at"), key_of(edge.column).alias("key"))
+    return rows.where("key is not null")
 
 
-def cascade(tables: dict[str, DataFrame], graph: tuple[ForeignKey, ...] = GRAPH, references: DataFrame | None = None) -> DataFrame:
+def direct_orphans(tables: dict[str, DataFrame], graph: tuple[ForeignKey, ...]) -> DataFrame:
+    """``record_table, record_id, via, reason, period``: the first round of ``cascade``.
+
+    Edges to parents with lifetimes are judged together per parent, the others
+    by anti-joins; ``via`` is the column that refers, ``first_author_last``
+    where a reference is by author.
+    """
+    parts: list[DataFrame] = []
+    for parent in dict.fromkeys(e.parent for e in graph if e.lifetime):
+        events: DataFrame | None = None
+        for e in graph:
+            if e.lifetime and e.parent == parent:
+                part = _children(tables, e)
+                events = part if events is None else events.unionByName(part)
+        deliveries = tables[parent].select(key_of("id").alias("key"), "loaded_at", "deleted_at")
+        parts.append(late_or_missing(events, deliveries).select(*ORPHAN[:4], period("at").alias("period")))
+    for e in graph:
+        if not e.lifetime:
+            keys = tables[e.parent].select(key_of("id").alias("key")).where("key is not null").distinct()
+            parts.append(_children(tables, e).join(keys, "key", "left_anti").select(*ORPHAN[:3], F.lit("missing").alias("reason"), period("at").alias("period")))
+        if e.by_author:
+            blank = tables[e.child].where(key_of(e.column).isNull()).select("id", "manuscript_id", "first_author_last", "cite_year", "year_suffix", "year_alt", "cited_at")
+            unanswered = unmatched_citations(blank, tables[e.parent])
+            parts.append(unanswered.select(F.lit(e.child).alias("record_table"), F.col("id").alias("record_id"), F.lit("first_author_last").alias("via"), F.lit("missing").alias("reason"), period("cited_at").alias("period")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def cascade(tables: dict[str, DataFrame], graph: tuple[ForeignKey, ...] = GRAPH) -> DataFrame:
     """``record_table, record_id, via, kind, reason, period`` of direct and inherited orphans.
 
-    A record is a direct orphan if a key of it names no record or if it is one
-    of ``references`` (record_table, record_id, via, reason, period); it is an
-    inherited one, with the reason of its parent, if it names an orphan.  A
-    record that is both is direct.  Each reason, month and column of a record
-    is a row.  Rounds of joins run until no record is added; there are at most
-    as many as the graph has levels, unless keys form a cycle, where they end
-    because every round must add a record.
+    A record is a direct orphan if one of its references has nothing to refer
+    to (``direct_orphans``); it is an inherited one, with the reason of its
+    parent, if it names an orphan.  A record that is both is direct.  Each
+    reason, month and column of a record is a row.  Rounds of joins run until
+    no record is added; there are at most as many as the graph has levels,
+    unless keys form a cycle, where they end because every round must add a
+    record.  A graph without edges is an error.
     """
-    columns = ["record_table", "record_id", "via", "reason", "period"]
     if not graph:
         raise ValueError("the graph has no foreign key")
-    orphans = None if references is None else references.select(*columns)
-    for edge in graph:
-        parent_keys = tables[edge.parent].select(key_of("id").alias("_p")).where("_p is not null").distinct()
-        part = _children(tables, edge).join(parent_keys, F.col("_c") == F.col("_p"), "left_anti").select("record_table", "record_id", "via", F.lit("missing").alias("reason"), F.col("own_period").alias("period"))
-        orphans = part if orphans is None else orphans.unionByName(part)
-    found = checkpointed(orphans.distinct().withColumn("kind", F.lit("direct")).withColumn("round", F.lit(0)))
-    step = 0
+    found = direct_orphans(tables, graph).withColumn("kind", F.lit("direct"))
+    edges = [e for e in graph if e.parent in {f.child for f in graph}]
+    if not edges:  # nothing can hang on what was found
+        return found.select(*ORPHAN[:3], "kind", *ORPHAN[3:])
+    found = checkpointed(found)
+    fresh = found
     while True:
-        fresh = found.where(F.col("round") == step)
-        step += 1
+        touched = {r[0] for r in fresh.select("record_table").distinct().collect()}  # names of tables
         added: DataFrame | None = None
-        for edge in graph:
-            parents = fresh.where(F.col("record_table") == edge.parent).select(key_of("record_id").alias("_p"), "reason", F.col("period").alias("parent_period")).distinct()
-            part = _children(tables, edge).join(parents, F.col("_c") == F.col("_p")).select("record_table", "record_id", "via", "reason", F.coalesce("own_period", "parent_period").alias("period"))
-            added = part if added is None else added.unionByName(part)
-        new = added.distinct().join(found.select("record_table", "record_id").distinct(), ["record_table", "record_id"], "left_anti")
-        new = checkpointed(new.withColumn("kind", F.lit("inherited")).withColumn("round", F.lit(step)))
-        if new.isEmpty():
-            return found.drop("round")
-        found = found.unionByName(new)
+        for e in edges:
+            if e.parent in touched:
+                parents = fresh.where(F.col("record_table") == e.parent).select(key_of("record_id").alias("key"), "reason", F.col("period").alias("parent_period")).where("key is not null").distinct()
+                part = _children(tables, e).join(parents, "key").select(*ORPHAN[:4], F.coalesce(period("at"), "parent_period").alias("period"))
+                added = part if added is None else added.unionByName(part)
+        if added is None:
+            return found.select(*ORPHAN[:3], "kind", *ORPHAN[3:])
+        known = found.select("record_table", "record_id").distinct()
+        fresh = checkpointed(added.distinct().join(known, ["record_table", "record_id"], "left_anti").withColumn("kind", F.lit("inherited")))
+        found = found.unionByName(fresh)
+
+
+def _tables(spark: SparkSession, sf_dir: str, graph: tuple[ForeignKey, ...]) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in {e.child for e in graph} | {e.parent for e in graph}}
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations and library files whose reference does not exist, was deleted or comes later, with the month: the cascade along the references to entries."""
+    found = cascade(_tables(spark, sf_dir, REFERENCES), REFERENCES)
+    return found.select("record_table", "record_id", "reason", "period").distinct()
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphan references per table, month and reason."""
+    return p5_found(spark, sf_dir).groupBy("record_table", "period", "reason").agg(F.count("*").alias("n_records"))
 
 
 def p5_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Direct and inherited orphans down the foreign-key graph, counted per table, key column, month, kind and reason."""
-    names = {e.child for e in GRAPH} | {e.parent for e in GRAPH}
-    tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
-    found = cascade(tables, references=orphan_references(spark, sf_dir))
-    return found.groupBy("record_table", "via", "period", "kind", "reason").agg(F.count_distinct("record_id").alias("n_records"))
+    """Direct and inherited orphans down the whole graph, one row per record, column, reason and month."""
+    return cascade(_tables(spark, sf_dir, GRAPH), GRAPH)
+
+
+def p5_key_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same along keys alone, without references by author."""
+    graph = tuple(replace(e, by_author=False) for e in GRAPH)
+    return cascade(_tables(spark, sf_dir, graph), graph)

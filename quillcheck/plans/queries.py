@@ -14,7 +14,7 @@ from quillcheck.operators import references as ref
 from quillcheck.operators.claims import PATTERNS, ClaimPattern, extract_claims
 from quillcheck.operators.decide import DecisionRules, decide, infer_measure
 from quillcheck.operators.library import attach_verdict, match_library
-from quillcheck.operators.orphans import p5_cascade, p5_found, p5_report
+from quillcheck.operators.orphans import EVENT_TIMES, GRAPH, p5_cascade, p5_found, p5_key_cascade, p5_report
 from quillcheck.operators.rejects import p4_found, p4_loaded, p4_problems
 from quillcheck.operators.truth import has_usable_truth, is_usable, p_rows, table_rows
 from quillcheck.session import collect_bounded
@@ -421,6 +421,32 @@ REJECTS_SQL = rf"""WITH l AS (SELECT DISTINCT row_id, coalesce(raw_line, '') s F
     SELECT * FROM a WHERE reason IS NOT NULL UNION ALL SELECT * FROM b WHERE reason IS NOT NULL"""
 
 
+def _key_sql(column: str) -> str:
+    return f"nullif(lower(trim({column}, chr(32) || chr(9) || chr(13) || chr(10) || chr(160))), '')"
+
+
+def _month_sql(at: str) -> str:
+    return f"strftime(make_timestamp(epoch_us({at})), '%Y-%m')"
+
+
+def _key_cascade_sql() -> str:
+    """Direct orphans by EXISTS over intervals and keys; the graph has three levels, so two rounds of joins follow."""
+    time = lambda table: EVENT_TIMES.get(table)
+    ids = "ids AS (" + " UNION ".join(f"SELECT '{t}' t, {_key_sql('id')} k FROM {t}" for t in sorted({e.parent for e in GRAPH})) + ")"
+    events = "ev AS (" + " UNION ".join(
+        f"SELECT '{e.child}' t, id, '{e.column}' via, '{e.parent}' parent, {str(e.lifetime).lower()} lives, {_key_sql(e.column)} k, {f'CAST({time(e.child)} AS TIMESTAMPTZ)' if time(e.child) else 'CAST(NULL AS TIMESTAMPTZ)'} tm FROM {e.child} WHERE {_key_sql(e.column)} IS NOT NULL"
+        for e in GRAPH
+    ) + ")"
+    live = "d AS (SELECT " + _key_sql("id") + " k, loaded_at l, deleted_at u FROM reference_entries)"
+    direct = f"""r0 AS (SELECT DISTINCT t, id, via, CASE WHEN NOT EXISTS (SELECT 1 FROM ids WHERE ids.t = ev.parent AND ids.k = ev.k) THEN 'missing' WHEN EXISTS (SELECT 1 FROM d WHERE d.k = ev.k AND d.l <= ev.tm) THEN 'deleted' ELSE 'late' END reason, {_month_sql('tm')} p
+      FROM ev WHERE NOT EXISTS (SELECT 1 FROM ids WHERE ids.t = ev.parent AND ids.k = ev.k) OR (lives AND NOT EXISTS (SELECT 1 FROM d WHERE d.k = ev.k AND d.l <= ev.tm AND (d.u IS NULL OR d.u > ev.tm))))"""
+    step = lambda n, old: f"""r{n} AS (SELECT DISTINCT ev.t, ev.id, ev.via, o.reason, coalesce({_month_sql('ev.tm')}, o.p) p FROM ev JOIN r{n - 1} o ON o.t = ev.parent AND {_key_sql('o.id')} = ev.k
+      WHERE NOT EXISTS (SELECT 1 FROM ({old}) x WHERE x.t = ev.t AND x.id = ev.id))"""
+    rounds = ", ".join((ids, events, live, direct, step(1, "SELECT t, id FROM r0"), step(2, "SELECT t, id FROM r0 UNION ALL SELECT t, id FROM r1")))
+    columns = "t AS record_table, id AS record_id, via, reason, p AS period"
+    return f"WITH {rounds} SELECT {columns}, 'direct' AS kind FROM r0 UNION ALL SELECT {columns}, 'inherited' FROM r1 UNION ALL SELECT {columns}, 'inherited' FROM r2"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict counts per measure."""
     return decide_counts(spark, sf_dir)
@@ -431,7 +457,7 @@ def queries() -> dict[str, Query]:
     plain = (
         claim_type_counts, decide_generic, decide_counts, decide_p_value, infer_dv, half_ulp, truth_p_table, truth_usable, truth_gate, reference_parse, reference_status, citations_extract, citation_purpose,
         citation_link, citation_dangling, reference_orphans, library_match, paraphrase_status, keyword_extract, lexical_scores, json_score, status_counts, dv_counts, manual_by_type, pass_rate, fail_breakdown,
-        fail_detail_top20, exit_code, coverage_gates, page_check, doc_lines, doc_digest, section_labels, manifest_prefix, p4_found, p4_loaded, p4_problems, p5_found, p5_report, p5_cascade,
+        fail_detail_top20, exit_code, coverage_gates, page_check, doc_lines, doc_digest, section_labels, manifest_prefix, p4_found, p4_loaded, p4_problems, p5_found, p5_report, p5_cascade, p5_key_cascade,
     )
     return named | {f.__name__: f for f in plain}
 
@@ -446,6 +472,7 @@ def oracle_sql() -> dict[str, str]:
         "claim_type_counts": counts,
         "decide_generic": GENERIC_SQL,
         "p4_found": REJECTS_SQL,
+        "p5_key_cascade": _key_cascade_sql(),
         "infer_dv": f"WITH {TRUTH_SQL} SELECT DISTINCT id AS claim_id, dv FROM j WHERE dv IS NOT NULL",
         "decide_p_value": P_VALUE_SQL,
         "doc_lines": DOC_LINES_SQL,

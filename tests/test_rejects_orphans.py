@@ -144,10 +144,13 @@ def test_cascade_from_deleted_late_and_unnamed_references(spark, tmp_path):
     reasons = {2: "deleted", 3: "late", 4: "missing", 5: "missing"}
     via = {2: "ref_id", 3: "ref_id", 4: "ref_id", 5: "first_author_last"}
     want = {("in_text_citations", f"c{i}", via[i], "direct", reasons[i], month) for i in reasons} | {("paraphrase_matches", f"x{i}", "citation_id", "inherited", reasons[i], month) for i in reasons} | {("source_pdfs", "f1", "ref_id", "direct", "deleted", far)}
-    got = O.cascade(tables, references=O.orphan_references(spark, str(tmp_path))).select("record_table", "record_id", "via", "kind", "reason", "period").collect()
+    got = O.cascade(tables).select("record_table", "record_id", "via", "kind", "reason", "period").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
-    counts = {(r.record_table, r.period, r.kind, r.reason, r.via): r.n_records for r in O.p5_cascade(spark, str(tmp_path)).collect()}
-    assert counts["paraphrase_matches", month, "inherited", "missing", "citation_id"] == 2 and sum(counts.values()) == 9
+    assert {tuple(r[c] for c in ("record_table", "record_id", "via", "kind", "reason", "period")) for r in O.p5_cascade(spark, str(tmp_path)).collect()} == want
+    keys = {(r.record_table, r.record_id) for r in O.p5_key_cascade(spark, str(tmp_path)).collect()}
+    assert ("in_text_citations", "c5") not in keys and ("in_text_citations", "c4") in keys
+    found = {(r.record_table, r.record_id, r.reason, r.period) for r in O.p5_found(spark, str(tmp_path)).collect()}
+    assert found == {(t, i, r, p) for t, i, _, kind, r, p in want if kind == "direct"}
 
 
 def test_period_is_utc(spark):
