@@ -20,17 +20,35 @@ def lines_of(text: Column) -> Column:
 def spans(text: Column, pattern: str) -> Column:
     """Matches of a literal pattern as array<struct<raw, start, end>>, code-point offsets, end exclusive.
 
-    Offsets are sums of what stands between and in the matches before.
+    Offsets are running sums of what stands between and in the matches.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), 0)
     gaps = F.split(text, pattern, -1)
-    lengths = F.transform(matches, F.length)
-    upto = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda a, x: a + x)
-    starts = F.transform(F.sequence(F.lit(1), F.size(matches)), lambda k: upto(F.transform(gaps, F.length), k) + upto(lengths, k - 1))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda a, z: F.struct((a["at"] + F.length(z["g"]) + F.length(z["m"])).alias("at"), F.concat(a["starts"], F.array(a["at"] + F.length(z["g"]))).alias("starts"))
+    starts = F.aggregate(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("g"), matches.alias("m")), none, step, lambda a: a["starts"])
     built = F.transform(F.arrays_zip(matches.alias("m"), starts.alias("s")), lambda z: F.struct(z["m"].alias("raw"), z["s"].alias("start"), (z["s"] + F.length(z["m"])).alias("end")))
     return F.when(F.size(matches) > 0, built).otherwise(F.array().cast("array<struct<raw:string,start:int,end:int>>"))
 
 
+def trie_pattern(words: list[str]) -> str:
+    """One regular expression for the longest of some words at a place, in which common beginnings are tried once."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        branches = [(c if c.isalnum() else rf"\x{{{ord(c):x}}}") + written(n) for c, n in sorted(node.items()) if c]
+        if not branches:
+            return ""
+        return f"(?:{'|'.join(branches)}){'?' if '' in node else ''}"
+
+    return written(root)
+
+
 def rfind(haystack: Column, needle: Column | str) -> Column:
     """Last position of a substring from 0, -1 if it is absent."""
     n = F.lit(needle) if isinstance(needle, str) else needle

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillcheck.functions.text import claim_number, lines_of, spans, whole_number
 from quillcheck.schemas import PARSED_VALUE
-
-NUM = r"([+−-]?\d*\.?\d+)"
+from quillcheck.session import numbered
 
 
 @dataclass(frozen=True)
@@ -22,7 +21,8 @@ class ClaimPattern:
     keys: tuple[str, ...]
 
 
-# The claim types, in the order in which a line is searched.
+# A printed number, and the claim types in the order in which a line is searched.
+NUM = r"([+−-]?\d*\.?\d+)"
 PATTERNS = (
     ClaimPattern("F_stat", rf"\*?F\*?\s*\(\s*(\d+)\s*,\s*(\d+)\s*\)\s*=\s*{NUM}", ("df1", "df2", "f")),
     ClaimPattern("p_adj", rf"\*?p[_ ]?adj\*?\s*=\s*{NUM}", ("p_adj",)),
@@ -103,10 +103,5 @@ def without_duplicate_manuscripts(lines: DataFrame) -> DataFrame:
 def number_claims(claims: DataFrame) -> DataFrame:
     """``id`` in the order of manuscript, line, pattern and position, over all manuscripts.
 
-    Ids are global, so the final numbering adds the counts of earlier manuscripts
-    to numbers within a manuscript; only one row per manuscript is windowed at once.
     """
-    own = Window.partitionBy("ms_ord").orderBy("line_no", "pat_ord", "start_pos")
-    counts = claims.groupBy("ms_ord").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("ms_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = claims.withColumn("_n", F.row_number().over(own)).join(counts.select("ms_ord", "_before"), "ms_ord")
-    return numbered.withColumn("id", F.format_string("claim-%04d", F.col("_before") + F.col("_n"))).drop("_n", "_before")
+    return numbered(claims, ["ms_ord", "line_no", "pat_ord", "start_pos"], "claim-%04d")

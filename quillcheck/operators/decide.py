@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillcheck.functions.text import half_ulp_equal, last_match, printed_digits, rfind, rounded
+from quillcheck.functions.text import half_ulp_equal, last_match, printed_digits, rfind, rounded, trie_pattern
 
 NO_TABLE = ("alpha", "N")
 NEEDS_SPAN = ("p_value", "CI_pair", "M_mean", "SD", "percent")
@@ -27,19 +28,20 @@ class DecisionRules:
 
 def infer_measure(text: Column, keywords: tuple[tuple[str, str], ...]) -> Column:
     """The measure whose keywords a text contains, ignoring case; null unless it is exactly one."""
-    by_dv: dict[str, list[str]] = {}
+    by_word: dict[str, set[str]] = {}
     for dv, k in keywords:
-        by_dv.setdefault(dv, []).append(k.lower())
-    if not by_dv:
-        return F.lit(None).cast("string")
-    low = F.lower(text)
-    hits = []
-    for dv, ks in sorted(by_dv.items()):
-        any_of = F.lit(False)
-        for k in ks:
-            any_of = any_of | F.contains(low, F.lit(k))
-        hits.append(F.when(any_of, F.lit(dv)))
-    found = F.filter(F.array(*hits), lambda d: d.isNotNull())
+        if k:
+            by_word.setdefault(k.lower(), set()).add(dv)
+    everywhere = sorted({dv for dv, k in keywords if not k})
+    if not by_word:
+        return F.lit(everywhere[0] if len(everywhere) == 1 else None).cast("string")
+    # one search gives the longest keyword at each place; shorter ones there are its beginnings
+    meant = {k: sorted(set().union(everywhere, *(by_word[k[:n]] for n in range(1, len(k) + 1) if k[:n] in by_word))) for k in by_word}
+    measures = F.from_json(F.lit(json.dumps(meant)), "map<string,array<string>>")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?=({trie_pattern(list(by_word))}))"), 1))
+    found = F.array_distinct(F.flatten(F.transform(words, lambda w: F.element_at(measures, w))))
+    if everywhere:
+        found = F.array_union(found, F.array(*map(F.lit, everywhere)))
     return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
 
 

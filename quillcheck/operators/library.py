@@ -47,8 +47,8 @@ def match_library(references: DataFrame, files: DataFrame) -> DataFrame:
 
     ``references``: id, first_author_last, year, title, doi; ``files``: path,
     stem, doi, title, ext.  Candidates meet through equal keys, not by pairing
-    every file with every reference: the DOI, or one author word with a year of
-    at most one off.  Ranks: DOI, title, author and year, author and a year off
+    every file with every reference: the DOI, the words of the DOI at the end of
+    the file's name, or an author word with a year of at most one off.  Ranks: DOI, title, author and year, author and a year off
     by one.  Different DOIs veto.  Blank authors find nothing.
     """
     ref = references.select("id", F.col("year").alias("r_year"), folded_tokens("first_author_last").alias("author"), folded_tokens("title").alias("t_tokens"), folded_letters("title").alias("t_letters"), doi_key(F.col("doi")).alias("r_doi"))
@@ -56,12 +56,14 @@ def match_library(references: DataFrame, files: DataFrame) -> DataFrame:
     ref = ref.withColumn("distinct_title", (F.size("t_words") >= 2) | F.exists("t_words", lambda w: F.length(w) >= 4)).where(F.size("author") > 0)
     lib = files.select("path", "ext", folded_tokens("stem").alias("name"), doi_key(F.col("doi")).alias("f_doi"), folded_letters("title").alias("f_letters"))
 
-    by_word = lib.select("path", F.explode(F.array_distinct("name")).alias("k"))
-    author_key = ref.select("ref_key", F.get("author", F.lit(0)).alias("k"))
-    by_author = author_key.join(by_word, "k").select("ref_key", "path").distinct()
+    years = F.filter("name", lambda w: w.rlike(r"^\d{1,4}$"))
+    by_word = lib.select("path", "name", F.explode(F.array_distinct(years)).alias("y")).select("path", "y", F.explode(F.array_distinct("name")).alias("k"))
+    author_key = ref.where("r_year is not null").select("ref_key", F.get("author", F.lit(0)).alias("k"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: (F.col("r_year") + d).cast("string"))).alias("y"))
+    by_author = author_key.join(by_word, ["k", "y"]).select("ref_key", "path").distinct()
     by_doi = ref.where("r_doi is not null").select("ref_key", F.col("r_doi").alias("k")).join(lib.where("f_doi is not null").select("path", F.col("f_doi").alias("k")), "k").select("ref_key", "path")
-    doi_tail = ref.where("r_doi is not null").select("ref_key", F.element_at(F.filter(F.split(F.col("r_doi"), r"[^\p{L}\p{N}]+"), lambda t: t != ""), -1).alias("k"))
-    by_tail = doi_tail.join(lib.select("path", F.element_at("name", -1).alias("k")), "k").select("ref_key", "path")
+    doi_tail = ref.where("r_doi is not null").select("ref_key", F.array_join(F.filter(F.split(F.col("r_doi"), r"[^\p{L}\p{N}]+"), lambda t: t != ""), " ").alias("k")).where("k <> ''")
+    tails = F.transform(F.sequence(F.lit(1), F.size("name")), lambda i: F.array_join(F.slice("name", i, F.size("name")), " "))
+    by_tail = doi_tail.join(lib.where(F.size("name") > 0).select("path", F.explode(tails).alias("k")), "k").select("ref_key", "path")
     pairs = by_author.unionByName(by_doi).unionByName(by_tail).distinct().join(ref, "ref_key").join(lib, "path")
 
     doi_tokens = F.filter(F.split(F.col("r_doi"), r"[^\p{L}\p{N}]+"), lambda t: t != "")

@@ -76,30 +76,32 @@ def page_slice(pages: DataFrame, hints: DataFrame) -> DataFrame:
 
 
 def first_json_object(response: str | None) -> str | None:
-    """The first balanced object of a response that is valid JSON, strings and escapes respected."""
-    if not response:
+    """The first balanced object of a response, strings and escapes respected.
+
+    Closed to failure: none if that object is not valid JSON or never ends,
+    whatever comes behind it.
+    """
+    at = (response or "").find("{")
+    if at < 0:
         return None
-    at = response.find("{")
-    while at >= 0:
-        depth, quoted, escaped = 0, False, False
-        for i in range(at, len(response)):
-            c = response[i]
-            if quoted:
-                escaped, quoted = (not escaped and c == "\\"), not (c == '"' and not escaped)
-                continue
-            if c == '"':
-                quoted = True
-            elif c == "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
-                if depth == 0:
-                    try:
-                        json.loads(response[at : i + 1])
-                    except ValueError:
-                        break
-                    return response[at : i + 1]
-        at = response.find("{", at + 1)
+    depth, quoted, escaped = 0, False, False
+    for i in range(at, len(response)):
+        c = response[i]
+        if quoted:
+            escaped, quoted = (not escaped and c == "\\"), not (c == '"' and not escaped)
+            continue
+        if c == '"':
+            quoted = True
+        elif c == "{":
+            depth += 1
+        elif c == "}":
+            depth -= 1
+            if depth == 0:
+                try:
+                    json.loads(response[at : i + 1])
+                except ValueError:
+                    return None
+                return response[at : i + 1]
     return None
 
 

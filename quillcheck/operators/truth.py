@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillcheck.functions.text import to_number, whole_number
 from quillcheck.schemas import TRUTH
+from quillcheck.session import broadcast_if_small
 
 TABLES = ("p_table", "beta_table", "wilcoxon_table")
 TABLE_FIELDS = ("f", "df1", "df2", "p_r", "p_scipy", "beta", "se", "ci_low", "ci_high", "v", "p_wil")
@@ -82,16 +83,17 @@ READERS = {"p_table": p_rows, "beta_table": beta_rows, "wilcoxon_table": wilcoxo
 
 def labelled(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """Rows whose first cell is a known label, with its measure; ``aliases``: label, dv."""
-    return rows.withColumn("label", _cell(0)).join(F.broadcast(aliases.select("label", "dv").distinct()), "label")
+    return rows.withColumn("label", _cell(0)).join(broadcast_if_small(aliases.select("label", "dv").distinct()), "label")
 
 
 def build_truth(lines: DataFrame, headings: dict[str, str], aliases: DataFrame, alpha: DataFrame) -> DataFrame:
     """One row per measure: the three tables merged with the reliabilities.
 
     The last row of a table wins as a whole, nulls included; errors of all rows
-    accumulate.  A measure with a reliability but no table still has a row.
+    accumulate.  A measure with a reliability but no table still has a row; of
+    several reliabilities of a measure the highest counts.
     """
-    merged = alpha.groupBy("dv").agg(F.last("alpha").alias("alpha")).withColumn("errors_alpha", F.array().cast("array<string>"))
+    merged = alpha.groupBy("dv").agg(F.max("alpha").alias("alpha")).withColumn("errors_alpha", F.array().cast("array<string>"))
     for table in TABLES:
         rows = READERS[table](labelled(table_rows(lines, headings[table]), aliases))
         fields = [c for c in rows.columns if c not in ("dv", "line_no", "errors")]
@@ -138,7 +140,7 @@ def summary_labels(lines: DataFrame, headings: list[str], aliases: DataFrame) ->
     out: DataFrame | None = None
     for heading in headings:
         rows = table_rows(lines, heading).withColumn("label", F.replace(_cell(0), F.lit("*"), F.lit("")))
-        rows = rows.join(F.broadcast(aliases.select("label", "dv").distinct()), "label").select("dv", "line_no", "cells")
+        rows = rows.join(broadcast_if_small(aliases.select("label", "dv").distinct()), "label").select("dv", "line_no", "cells")
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         raise ValueError("no heading is given")

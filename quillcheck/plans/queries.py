@@ -17,7 +17,7 @@ from quillcheck.operators.library import attach_verdict, match_library
 from quillcheck.operators.orphans import EVENT_TIMES, GRAPH, p5_cascade, p5_found, p5_key_cascade, p5_report
 from quillcheck.operators.rejects import p4_found, p4_loaded, p4_problems
 from quillcheck.operators.truth import has_usable_truth, is_usable, p_rows, table_rows
-from quillcheck.session import collect_bounded
+from quillcheck.session import collect_bounded, shuffled
 from quillcheck.sources.files import section_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,7 +34,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
 def _claims_of(pattern: ClaimPattern) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines = _table(spark, sf_dir, "numerical_claims", F.col("id").alias("claim_id"), F.col("context_snippet").alias("text"))
-        return extract_claims(lines, (pattern,)).select("claim_id", "raw_text", "start_pos", "end_pos")
+        return extract_claims(shuffled(lines), (pattern,)).select("claim_id", "raw_text", "start_pos", "end_pos")
 
     return query
 
@@ -55,7 +55,7 @@ def _claims_sql(pattern: ClaimPattern) -> str:
 
 def claim_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "numerical_claims", F.col("id").alias("claim_id"), F.col("context_snippet").alias("text"))
-    return extract_claims(lines).groupBy("claim_type").agg(F.count("*").alias("n"))
+    return extract_claims(shuffled(lines)).groupBy("claim_type").agg(F.count("*").alias("n"))
 
 
 # --- decisions --------------------------------------------------------------
@@ -87,7 +87,7 @@ def _decided(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
     claims = spark.read.parquet(f"{sf_dir}/numerical_claims.parquet")
     claims = claims.select("id", "claim_type", "parsed_value", "raw_text", "context_snippet", "start_pos", "end_pos", "raw_values").dropDuplicates(["id"])
     claims = claims.where(F.col("claim_type").isin(*types)) if types else claims
-    return decide(claims, _truth(spark, sf_dir), _rules(spark, sf_dir))
+    return decide(shuffled(claims), _truth(spark, sf_dir), _rules(spark, sf_dir))
 
 
 def decide_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ def decide_p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir, "p_value").groupBy("status").agg(F.count("*").alias("n"))
 
 
-P_VALUE_SQL = f"""WITH {TRUTH_SQL},
+P_VALUE_SQL = rf"""WITH {TRUTH_SQL},
     k AS (SELECT j.id, j.parsed_value v, t.dv tdv, t.p_r, t.p_wil, lower(coalesce(context_snippet, raw_text, '')) low, coalesce(context_snippet, raw_text, '') sn, coalesce(raw_text, '') raw, start_pos s, end_pos e
       FROM j LEFT JOIN truth t ON j.dv = t.dv WHERE claim_type = 'p_value'),
     l AS (SELECT *, CASE WHEN s IS NULL AND e IS NULL THEN CASE WHEN raw <> '' AND (length(sn) - length(replace(sn, raw, ''))) = length(raw) THEN instr(sn, raw) - 1 END
@@ -191,8 +191,8 @@ def reference_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ref.parse_references(rows).select("entry_id", "authors_raw", F.col("year").alias("ref_year"), "year_suffix", "title")
 
 
-REFERENCE_SQL = r"""WITH t AS (SELECT DISTINCT id, raw_text r FROM reference_entries WHERE raw_text IS NOT NULL),
-    m AS (SELECT id, regexp_extract(r, '(?m)^([A-Z][^()]+?)\s*\((\d{4}[a-z]?)\)\.\s*([^.]+(?:\.\s*[^.]+)*?)\.\s*', ['a', 'y', 't']) g FROM t)
+_ENTRY = ref.ENTRY.replace("(?mdU)", "(?m)")
+REFERENCE_SQL = rf"""WITH t AS (SELECT DISTINCT id, raw_text r FROM reference_entries WHERE raw_text IS NOT NULL), m AS (SELECT id, regexp_extract(r, '{_ENTRY}', ['a', 'y', 't']) g FROM t)
     SELECT id AS entry_id, trim(g.a) AS authors_raw, CAST(substr(g.y, 1, 4) AS INTEGER) AS ref_year, substr(g.y, 5, 1) AS year_suffix, trim(g.t) AS title FROM m WHERE g.y <> ''"""
 
 
@@ -206,11 +206,16 @@ def citations_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cit.extract_citations(lines).select("citation_id", "citation_type", "first_author_last", F.col("year").alias("cite_year"), "year_suffix", "year_alt")
 
 
-_W = r"[\pL\pN_\pM]"
+def _words_of(pattern: str) -> str:
+    """The operator's expression for an engine without Unicode word classes and look-around."""
+    return pattern.replace("(?U)", "").replace(r"[\w\-]", r"(?:[\pL\pN_\pM]|-)").replace("'s", "''s")
+
+
+_IN_PARENTHESES = _words_of(cit.SUB_CITATION).removesuffix(r"\b") + r"(?:[^\pL\pN_]|$)"
+_IN_TEXT = r"(?:^|[^\pL\pN_])" + _words_of(cit.NARRATIVE).removeprefix(r"\b")
 CITATION_SQL = rf"""WITH t AS (SELECT DISTINCT id, raw_text r FROM in_text_citations WHERE raw_text IS NOT NULL AND NOT regexp_matches(raw_text, '^\s*>')),
     q AS (SELECT id, trim(unnest(string_split(substr(o, 2, length(o) - 2), ';'))) s FROM (SELECT id, unnest(regexp_extract_all(r, '\([^()]+\)')) o FROM t)),
-    p AS (SELECT id, 'parenthetical' k, regexp_extract(s, '^(?:[A-Z](?:{_W}|-)+;\s*)?([A-Z](?:{_W}|-)+)(?:\s+et\s+al\.|[^,;()]{{0,80}}?)\s*,\s*(\d{{4}}[a-z]?)(?:/(\d{{4}}[a-z]?))?(?:[^\pL\pN_]|$)', ['a', 'y', 'z']) g FROM q),
-    n AS (SELECT id, 'narrative' k, regexp_extract(r, '(?:^|[^\pL\pN_])([A-Z](?:{_W}|-)+)(?:\s+et\s+al\.(?:''s)?|\s+(?:and|&)\s+[A-Z](?:{_W}|-)+(?:''s)?|(?:''s)?)?\s*\((\d{{4}}[a-z]?)(?:/(\d{{4}}[a-z]?))?\)', ['a', 'y', 'z']) g FROM t)
+    p AS (SELECT id, 'parenthetical' k, regexp_extract(s, '{_IN_PARENTHESES}', ['a', 'y', 'z']) g FROM q), n AS (SELECT id, 'narrative' k, regexp_extract(r, '{_IN_TEXT}', ['a', 'y', 'z']) g FROM t)
     SELECT id AS citation_id, k AS citation_type, g.a AS first_author_last, CAST(substr(g.y, 1, 4) AS INTEGER) AS cite_year, substr(g.y, 5, 1) AS year_suffix,
       CASE WHEN g.z <> '' THEN CAST(substr(g.z, 1, 4) AS INTEGER) END AS year_alt FROM (SELECT * FROM p UNION ALL SELECT * FROM n) WHERE g.y <> ''"""
 
@@ -338,7 +343,7 @@ def exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coverage_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gates over the tables; a row per gate that fails."""
     claims, entries = spark.read.parquet(f"{sf_dir}/numerical_claims.parquet"), spark.read.parquet(f"{sf_dir}/reference_entries.parquet")
-    rows = gates.coverage_gate(claims, "numerical-claims").unionByName(gates.coverage_gate(entries.where("false"), "references"))
+    rows = gates.coverage_gate(claims, "numerical-claims").unionByName(gates.coverage_gate(entries, "references"))
     return rows.unionByName(gates.scored_gate(spark.read.parquet(f"{sf_dir}/paraphrase_matches.parquet"))).select("target_type", "target_id", "status")
 
 
@@ -497,7 +502,7 @@ def oracle_sql() -> dict[str, str]:
             count(*) FILTER (WHERE status = 'FAIL' AND target_type IN ('in-text-citation', 'reference-entry')) AS n_citation FROM {v})""",
         "fail_detail_top20": f"SELECT id AS result_id, target_type FROM {v} WHERE status = 'FAIL' ORDER BY id LIMIT 20",
         "exit_code": f"SELECT CAST(CASE WHEN count(*) FILTER (WHERE status = 'FAIL') > 0 THEN 1 ELSE 0 END AS INTEGER) AS exit_code FROM {v}",
-        "coverage_gates": "SELECT 'coverage' AS target_type, 'references' AS target_id, 'FAIL' AS status UNION ALL SELECT 'coverage', 'numerical-claims', 'FAIL' WHERE (SELECT count(*) FROM numerical_claims) = 0 UNION ALL SELECT 'phase-2', 'phase-2', 'FAIL' WHERE (SELECT count(*) FROM paraphrase_matches WHERE status IN ('PASS', 'FAIL') AND score BETWEEN 0 AND 1) = 0",
+        "coverage_gates": "SELECT 'coverage' AS target_type, 'references' AS target_id, 'FAIL' AS status WHERE (SELECT count(*) FROM reference_entries) = 0 UNION ALL SELECT 'coverage', 'numerical-claims', 'FAIL' WHERE (SELECT count(*) FROM numerical_claims) = 0 UNION ALL SELECT 'phase-2', 'phase-2', 'FAIL' WHERE (SELECT count(*) FROM paraphrase_matches WHERE status IN ('PASS', 'FAIL') AND score BETWEEN 0 AND 1) = 0",
         "page_check": PAGE_SQL,
         "doc_digest": r"SELECT doc_id, sha256(text) AS sha256, CAST(len(regexp_extract_all(text, '[^\s\x0b\x{85}\p{Z}]+')) AS INTEGER) AS n_words FROM documents",
         "section_labels": SECTION_SQL,

@@ -80,6 +80,23 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, order: list, form: str, column: str = "id") -> DataFrame:
+    """``rows`` with a number in global order, from 1, written by ``form`` into ``column``.
+
+    Rows are divided by ranges of the order and written; a row's number is its
+    place in its range behind the sizes of the ranges before, one number each.
+    """
+    ranged = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order))
+    sizes = {r[0]: r[1] for r in ranged.groupBy(F.spark_partition_id().alias("p")).count().collect()}
+    before, at = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        before.append(at)
+        at += sizes.get(p, 0)
+    offset = F.get(F.array(*[F.lit(b).cast("long") for b in before or [0]]), F.spark_partition_id())
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.withColumn(column, F.format_string(form, offset + place + 1))
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

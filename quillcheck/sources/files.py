@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillcheck.functions.text import word_count
+from quillcheck.session import broadcast_if_small
 
 # Parts of file names and the sections they stand for, first hit first.
 SECTION_HINTS = (
@@ -47,7 +48,7 @@ def read_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
     scan = spark.read.format("binaryFile").load(paths).withColumn("path", F.url_decode(F.regexp_replace(F.regexp_replace("path", r"\+", "%2B"), r"^file:(?://)?", "")))
     text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
-    return scan.join(F.broadcast(order), "path").select("ord", "path", stem.alias("stem"), "content", text.alias("text"), F.col("modificationTime").alias("modified"))
+    return scan.join(broadcast_if_small(order), "path").select("ord", "path", stem.alias("stem"), "content", text.alias("text"), F.col("modificationTime").alias("modified"))
 
 
 def manuscripts(texts: DataFrame, version: str = "v1") -> DataFrame:
@@ -77,10 +78,12 @@ def frontmatter(text: Column, key: str) -> Column:
 
 
 def library(spark: SparkSession, root: str) -> DataFrame:
-    """``path, stem, ext, doi, title`` of the markdown and PDF files below a folder; PDF contents are not read."""
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    scan = scan.withColumn("path", F.url_decode(F.regexp_replace(F.regexp_replace("path", r"\+", "%2B"), r"^file:(?://)?", ""))).withColumn("ext", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))).where(F.col("ext").isin("md", "pdf"))
-    text = F.when(F.col("ext") == "md", F.decode(F.substring("content", 1, 32768), "UTF-8"))
+    """``path, stem, ext, doi, title`` of the markdown and PDF files below a folder; PDF files are only listed, the scan prunes their content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    marked = files.option("pathGlobFilter", "*.[mM][dD]").load(root).select("path", F.decode(F.substring("content", 1, 32768), "UTF-8").alias("head"))
+    printed = files.option("pathGlobFilter", "*.[pP][dD][fF]").load(root).select("path", F.lit(None).cast("string").alias("head"))
+    scan = marked.unionByName(printed).withColumn("path", F.url_decode(F.regexp_replace(F.regexp_replace("path", r"\+", "%2B"), r"^file:(?://)?", ""))).withColumn("ext", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+    text = F.col("head")
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
     return scan.select("path", stem.alias("stem"), "ext", frontmatter(text, "doi").alias("doi"), frontmatter(text, "title").alias("title"))
 
