@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillcheck.functions.text import lines_of
@@ -63,6 +63,18 @@ def truth_gate(claims: DataFrame, usable: DataFrame) -> DataFrame:
     return gate(counts, (F.col("n") > 0) & ~F.col("usable"), "ground-truth", "ground-truth", "no usable ground truth")
 
 
+def truth_coverage(truth: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``n_measures`` with ground truth and their names in order; the names are bounded by the catalog."""
+    names = F.array_sort(F.collect_set("dv"))
+    return truth.groupBy(*keep).agg(F.count_distinct("dv").alias("n_measures"), F.array_join(names, ", ").alias("measures"))
+
+
+def error_gate(spark: SparkSession, error: str) -> DataFrame:
+    """FAIL with the reason why the comparison of paraphrases ended early."""
+    one = spark.range(1).select(F.lit(0).alias("n"))
+    return gate(one, F.lit(True), "phase-2", "paraphrase-matching", f"phase 2 failed: {error}")
+
+
 def scored_gate(matches: DataFrame) -> DataFrame:
     """FAIL if no paraphrase was decided with a valid score."""
     ok = F.col("status").isin("PASS", "FAIL") & (F.col("score") >= 0) & (F.col("score") <= 1)

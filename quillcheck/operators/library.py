@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillcheck.session import numbered
+
 # Title words that do not distinguish.
 TITLE_STOPWORDS = ("a", "an", "the", "of", "and", "in", "on", "for", "to", "with")
 
@@ -83,6 +85,24 @@ def match_library(references: DataFrame, files: DataFrame) -> DataFrame:
     return references.select("id").distinct().join(found.select("id", "pdf_path", "source_kind").distinct(), "id", "left").withColumn("source_kind", F.coalesce("source_kind", F.lit("not-found")))
 
 
+def find_by_author_year(references: DataFrame, files: DataFrame) -> DataFrame:
+    """``id, pdf_path`` by author and year alone, an exact year before one off; null if there is none or more than one."""
+    blank = F.lit(None).cast("string")
+    found = match_library(references.withColumns({"doi": blank, "title": blank}), files.withColumns({"doi": blank, "title": blank}))
+    return found.select("id", "pdf_path")
+
+
+def attached(references: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records ``pdf-001`` ... of the files, one per reference in its order, and ``references`` with ``pdf_attached``.
+
+    ``found``: id, pdf_path, source_kind as ``match_library`` gives them.
+    """
+    joined = references.join(found.withColumnsRenamed({"pdf_path": "_path", "source_kind": "_kind"}), "id")
+    rows = joined.select(F.col("id").alias("ref_id"), "ref_ord", F.col("_path").alias("pdf_path"), F.col("_kind").alias("source_kind"))
+    records = numbered(rows, ["ref_ord", "ref_id"], "pdf-%03d").select("id", "ref_id", "pdf_path", "source_kind")
+    return records, joined.withColumn("pdf_attached", F.col("_path").isNotNull()).drop("_path", "_kind")
+
+
 def attach_verdict(kind: Column, path: Column) -> Column:
     """PASS for a certain file, WARN for none, several, or a year off by one."""
     return F.when(kind == "ambiguous", "WARN").when(kind.endswith("-yearfuzzy"), "WARN").when(path.isNotNull(), "PASS").otherwise("WARN")

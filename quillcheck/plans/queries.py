@@ -13,10 +13,10 @@ from quillcheck.operators import gates, paraphrase
 from quillcheck.operators import references as ref
 from quillcheck.operators.claims import PATTERNS, ClaimPattern, extract_claims
 from quillcheck.operators.decide import DecisionRules, decide, infer_measure
-from quillcheck.operators.library import attach_verdict, match_library
 from quillcheck.operators.orphans import EVENT_TIMES, GRAPH, p5_cascade, p5_found, p5_key_cascade, p5_report
 from quillcheck.operators.rejects import p4_found, p4_loaded, p4_problems
 from quillcheck.operators.truth import has_usable_truth, is_usable, p_rows, table_rows
+from quillcheck.plans import record_queries
 from quillcheck.session import collect_bounded, shuffled
 from quillcheck.sources.files import section_of
 
@@ -109,11 +109,6 @@ GENERIC_SQL = f"""WITH {TRUTH_SQL},
       CASE WHEN parsed_value IS NOT NULL AND tdv IS NOT NULL THEN dv END AS matched_dv FROM k"""
 
 
-def decide_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All claims through the whole chain, counted per type, measure and status."""
-    return _decided(spark, sf_dir).groupBy("claim_type", "matched_dv", "status").agg(F.count("*").alias("n"))
-
-
 def decide_p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inequalities and unlocated or unknown claims stay manual; the rest is routed by the nearer test."""
     return _decided(spark, sf_dir, "p_value").groupBy("status").agg(F.count("*").alias("n"))
@@ -263,16 +258,6 @@ def reference_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cit.uncited(held, linked).select(F.col("id").alias("entry_id"))
 
 
-def library_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference entries against the paths of the file table."""
-    held = _table(spark, sf_dir, "reference_entries", "id", "first_author_last", F.col("ref_year").alias("year"), "title", "doi")
-    files = _table(spark, sf_dir, "source_pdfs", "pdf_path").where("pdf_path is not null")
-    stem = F.regexp_replace(F.regexp_extract("pdf_path", r"([^/]*)$", 1), r"\.[^.]*$", "")
-    files = files.select(F.col("pdf_path").alias("path"), stem.alias("stem"), F.lower(F.regexp_extract("pdf_path", r"\.([^./]+)$", 1)).alias("ext"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("title"))
-    found = match_library(held, files)
-    return found.select("id", "source_kind", "pdf_path", attach_verdict(F.col("source_kind"), F.col("pdf_path")).alias("verdict"))
-
-
 # --- paraphrases ---------------------------------------------------------------
 
 
@@ -288,23 +273,6 @@ PARAPHRASE_SQL = """WITH t AS (SELECT DISTINCT id, citation_purpose p, extracted
       CASE WHEN NOT coalesce(status IN ('PASS', 'FAIL', 'WARN', 'MANUAL'), false) THEN 'FAIL' WHEN status = 'PASS' AND NOT coalesce(score BETWEEN 0 AND 1, false) THEN 'FAIL' ELSE status END AS folded FROM h"""
 
 
-def keyword_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "paraphrase_matches", "id", "paraphrase_text", "extracted_quote")
-    words = paraphrase.keywords(F.col("paraphrase_text"))
-    return rows.select(F.col("id").alias("match_id"), F.array_join(words, " ").alias("keywords"), F.length(paraphrase.source_quote(F.col("extracted_quote"), words)).alias("n_quote"))
-
-
-def lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/paraphrase_matches.parquet").select(F.col("id").alias("match_id"), "paraphrase_text", "extracted_quote").dropDuplicates(["match_id"])
-    return paraphrase.score_pairs(rows).select("match_id", "score")
-
-
-def json_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "paraphrase_matches", "id", "score")
-    response = F.concat(F.lit('The answer: {"note": "a } b", "score": '), F.coalesce(F.col("score").cast("string"), F.lit("null")), F.lit("} done"))
-    return rows.select(F.col("id").alias("match_id"), paraphrase.json_score(response, F.lit(0)).alias("score"))
-
-
 # --- results, documents, files ------------------------------------------------------
 
 
@@ -454,17 +422,17 @@ def _key_cascade_sql() -> str:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict counts per measure."""
-    return decide_counts(spark, sf_dir)
+    return record_queries.decide_counts(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
     named: dict[str, Query] = {f"claims_{p.claim_type.lower()}": _claims_of(p) for p in PATTERNS}
     plain = (
-        claim_type_counts, decide_generic, decide_counts, decide_p_value, infer_dv, half_ulp, truth_p_table, truth_usable, truth_gate, reference_parse, reference_status, citations_extract, citation_purpose,
-        citation_link, citation_dangling, reference_orphans, library_match, paraphrase_status, keyword_extract, lexical_scores, json_score, status_counts, dv_counts, manual_by_type, pass_rate, fail_breakdown,
+        claim_type_counts, decide_generic, decide_p_value, infer_dv, half_ulp, truth_p_table, truth_usable, truth_gate, reference_parse, reference_status, citations_extract, citation_purpose,
+        citation_link, citation_dangling, reference_orphans, paraphrase_status, status_counts, dv_counts, manual_by_type, pass_rate, fail_breakdown,
         fail_detail_top20, exit_code, coverage_gates, page_check, doc_lines, doc_digest, section_labels, manifest_prefix, p4_found, p4_loaded, p4_problems, p5_found, p5_report, p5_cascade, p5_key_cascade,
     )
-    return named | {f.__name__: f for f in plain}
+    return named | {f.__name__: f for f in plain} | record_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -473,7 +441,7 @@ def oracle_sql() -> dict[str, str]:
     counts = " UNION ALL ".join(
         f"SELECT '{p.claim_type}' AS claim_type, count(*) AS n FROM (SELECT unnest(regexp_extract_all(s, '{_re2(p.pattern)}')) FROM (SELECT DISTINCT id, context_snippet s FROM numerical_claims)) HAVING count(*) > 0" for p in PATTERNS
     )
-    return claims | {
+    return claims | record_queries.oracle_sql() | {
         "claim_type_counts": counts,
         "decide_generic": GENERIC_SQL,
         "p4_found": REJECTS_SQL,
@@ -493,7 +461,6 @@ def oracle_sql() -> dict[str, str]:
         "citation_dangling": f"WITH {LINK_SQL} SELECT citation_id FROM linked WHERE ref_id IS NULL",
         "reference_orphans": f"WITH {LINK_SQL} SELECT r.id AS entry_id FROM r WHERE r.id NOT IN (SELECT ref_id FROM linked WHERE ref_id IS NOT NULL)",
         "paraphrase_status": PARAPHRASE_SQL,
-        "json_score": "SELECT DISTINCT id AS match_id, CASE WHEN score BETWEEN 0 AND 1 THEN score END AS score FROM paraphrase_matches",
         "status_counts": f"SELECT status, count(*) AS n FROM {v} GROUP BY status",
         "dv_counts": f"SELECT matched_dv, count(*) AS n FROM {v} WHERE coalesce(matched_dv, '') <> '' GROUP BY matched_dv",
         "manual_by_type": f"SELECT claim_type, count(*) AS n FROM {v} r JOIN (SELECT DISTINCT id, claim_type FROM numerical_claims) c ON r.target_id = c.id WHERE status = 'MANUAL' AND target_type = 'numerical-claim' GROUP BY claim_type",
