@@ -17,6 +17,7 @@ STOPWORDS = tuple(
     "its his her some any our your out off yet via per due between within across during while about above below would could should will shall must might does did had has "
     "having being other same each much many most few either neither both two three four".split()
 )
+PURPOSES = ("finding-cite", "method-cite", "theory-cite", "background-cite")
 MAX_KEYWORDS = 8
 WINDOW = 1000
 PAGES = 15
@@ -161,7 +162,7 @@ def fold_in(status: Column, score: Column) -> Column:
 def augmented_purpose(heuristic: Column, answered: Column) -> tuple[Column, Column]:
     """Purpose and its origin: background and theory stay; else a known answer of the classifier; else the heuristic."""
     stays = heuristic.isin("background-cite", "theory-cite")
-    known = answered.isin("finding-cite", "method-cite", "theory-cite", "background-cite")
+    known = answered.isin(*PURPOSES)
     use = ~stays & F.coalesce(known, F.lit(False))
     return F.when(use, answered).otherwise(heuristic), F.when(stays, "heuristic").when(use, "classifier").otherwise("fallback")
 

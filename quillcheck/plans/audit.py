@@ -8,6 +8,7 @@ import sys
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +17,16 @@ from quillcheck.operators import gates, paraphrase
 from quillcheck.operators import references as ref
 from quillcheck.operators.claims import extract_claims, number_claims, text_lines, without_duplicate_manuscripts
 from quillcheck.operators.decide import decide
-from quillcheck.operators.library import attach_verdict, match_library
+from quillcheck.operators.library import attach_verdict, attached, match_library
 from quillcheck.operators.truth import build_truth, has_usable_truth, merge_summary, summary_labels, summary_rows
 from quillcheck.schemas import RESULT
-from quillcheck.session import checkpointed
+from quillcheck.session import checkpointed, collect_bounded, numbered
 from quillcheck.sources.config import AuditConfig, load_config
 from quillcheck.sources.files import expand_specs, library, manifest, manuscripts, pdf_pages, read_texts, write_jsonl
+from quillcheck.sources.providers import classifier_of, resolve, scorer_of
+
+#: Files of one library that references are attached to.
+MAX_FILES = 100_000
 
 
 @dataclass
@@ -35,6 +40,7 @@ class Audit:
     files: DataFrame | None
     matches: DataFrame | None
     results: DataFrame
+    truth: DataFrame | None = None
 
 
 def _results(rows: DataFrame, order: int, target: str, verifier: str, target_id: Column, status: Column, evidence: Column, **more: Column) -> DataFrame:
@@ -61,7 +67,10 @@ def run(
 ) -> Audit:
     """All frames of an audit; ids of results follow source and natural order.
 
-    Without a ``classifier`` purposes are those of the heuristic; ``pages`` reads PDF files.
+    Without a ``scorer`` nothing is scored and every citation that needs a score
+    fails; without a ``classifier`` purposes are those of the heuristic;
+    ``pages`` reads PDF files.  What goes wrong in phase 2 is a failed result
+    and leaves the results of phase 1.
     """
     texts = read_texts(spark, expand_specs(list(config.manuscripts)))
     records = manuscripts(texts)
@@ -69,6 +78,7 @@ def run(
     lines = checkpointed(without_duplicate_manuscripts(text_lines(source)))
     claims = checkpointed(number_claims(extract_claims(lines)))
     parts: list[DataFrame] = []
+    truth: DataFrame | None = None
 
     if config.stats:
         stats = text_lines(read_texts(spark, [config.stats]).select("text"), keep=())
@@ -82,7 +92,8 @@ def run(
             if config.summary_labels:
                 truth = merge_summary(truth, summary_labels(summary, list(config.summary_labels), aliases))
         parts.append(gates.coverage_gate(claims, "numerical-claims").drop("id").withColumn("src", F.lit(0)))
-        decided = decide(claims, checkpointed(truth), config.rules)
+        truth = checkpointed(truth)
+        decided = decide(claims, truth, config.rules)
         parts.append(_results(decided, 1, "numerical-claim", "recompute", F.col("id"), F.col("status"), F.col("evidence"), expected_value=F.col("expected_value"), computed_value=F.col("computed_value"), delta=F.col("delta"), matched_dv=F.col("matched_dv")))
 
     entries = linked = files = matches = None
@@ -90,30 +101,42 @@ def run(
         entries = checkpointed(ref.parse_references(ref.reference_chunks(read_texts(spark, [config.references]).select("text"))))
         parts.append(gates.coverage_gate(entries, "references").drop("id").withColumn("src", F.lit(0)))
         found = cit.extract_citations(lines.where(F.col("section") != "refs"))
-        found = found.withColumn("id", F.concat_ws("-", F.lit("cite"), *[F.lpad(F.col(c).cast("string"), 5, "0") for c in ("ms_ord", "line_no", "kind", "pos", "sub")]))
+        found = numbered(found, ["ms_ord", "line_no", "kind", "pos", "sub"], "cite-%04d")
         linked = checkpointed(cit.link_citations(found, entries))
         if config.library and os.path.isdir(config.library):
             files = match_library(entries, library(spark, config.library))
         else:
             files = entries.select("id", F.lit(None).cast("string").alias("pdf_path"), F.lit("not-found").alias("source_kind"))
-        files = checkpointed(files)
+        files, entries = attached(entries, files)
+        files, entries = checkpointed(files), checkpointed(entries)
         parts.append(_results(entries, 2, "reference-entry", "doi-audit", F.col("id"), ref.doi_verdict(F.col("status"), F.col("doi")), F.col("status")))
         parts.append(_results(cit.dangling(linked), 3, "in-text-citation", "citation-graph", F.col("id"), F.lit("FAIL"), F.col("raw_text")))
         parts.append(_results(cit.uncited(entries, linked), 4, "reference-entry", "citation-graph", F.col("id"), F.lit("WARN"), F.lit("never cited")))
-        parts.append(_results(entries.select("id").join(files, "id"), 5, "reference-entry", "pdf-attach", F.col("id"), attach_verdict(F.col("source_kind"), F.col("pdf_path")), F.col("source_kind")))
+        parts.append(_results(files, 5, "reference-entry", "pdf-attach", F.col("ref_id"), attach_verdict(F.col("source_kind"), F.col("pdf_path")), F.col("source_kind")))
         if phase == 2:
-            paths = [r[0] for r in files.where("pdf_path is not null").select("pdf_path").distinct().collect()]  # the files of one library
-            texts_of = source_texts(spark, paths, pages)
-            asked = paraphrase.reclassified(linked, classifier) if classifier else linked
-            matches = checkpointed(paraphrase.match_paraphrases(asked, files.withColumnRenamed("id", "ref_id").withColumn("id", F.col("ref_id")), texts_of, scorer or (lambda p, q: None)))
-            parts.append(_results(matches, 6, "paraphrase-match", "paraphrase-lexical", F.col("citation_id"), F.col("status"), F.col("citation_purpose"), computed_value=F.col("score")))
-            parts.append(gates.scored_gate(matches).drop("id").withColumn("src", F.lit(7)))
+            try:
+                matches = _matches(spark, linked, files, scorer, classifier, pages)
+                parts.append(_results(matches, 6, "paraphrase-match", "paraphrase", F.col("citation_id"), F.col("status"), F.col("citation_purpose"), computed_value=F.col("score")))
+                parts.append(gates.scored_gate(matches).drop("id").withColumn("src", F.lit(7)))
+            except (OSError, ValueError, RuntimeError, PySparkException) as e:
+                matches = None
+                parts.append(gates.error_gate(spark, str(e).split("\n")[0][:300]).drop("id").withColumn("src", F.lit(7)))
+    elif phase == 2:
+        parts.append(gates.error_gate(spark, "no references are configured").drop("id").withColumn("src", F.lit(7)))
 
     empty = spark.createDataFrame([], RESULT).drop("id").withColumn("src", F.lit(0))
     results = empty
     for p in parts:
         results = results.unionByName(p)
-    return Audit(records, claims, entries, linked, files, matches, checkpointed(results))
+    results = numbered(results, ["src", "target_id", "evidence"], "vr-%04d").select("id", *[c for c in results.columns])
+    return Audit(records, claims, entries, linked, files, matches, results, truth)
+
+
+def _matches(spark: SparkSession, linked: DataFrame, files: DataFrame, scorer: paraphrase.Scorer | None, classifier: paraphrase.Classifier | None, pages: PageReader) -> DataFrame:
+    """The citations of attached files compared with them, computed at once so that errors show here."""
+    paths = [r[0] for r in collect_bounded(files.where("pdf_path is not null").select("pdf_path").distinct(), MAX_FILES, "the attached files")]
+    asked = paraphrase.reclassified(linked, classifier) if classifier else linked
+    return checkpointed(paraphrase.match_paraphrases(asked, files, source_texts(spark, paths, pages), scorer or (lambda p, q: None)))
 
 
 def summary_text(audit: Audit, config: AuditConfig) -> str:
@@ -125,6 +148,14 @@ def summary_text(audit: Audit, config: AuditConfig) -> str:
     out += [f"- {x['status']}: {x['n']}" for x in gates.ordered_counts(r, "status", "ord").collect()]
     out += ["", "## Claims by type", "", *[f"- {x['claim_type']}: {x['n']}" for x in gates.ordered_counts(audit.claims, "claim_type", "id").collect()]]
     out += ["", "## Measures", "", *[f"- {x['matched_dv']}: {x['n']}" for x in gates.measure_counts(r).orderBy("matched_dv").collect()]]
+    if audit.truth is not None:
+        covered = gates.truth_coverage(audit.truth).first()
+        out += ["", "## Ground truth", "", f"{covered['n_measures']} measures: {covered['measures']}" if covered else "no measures"]
+    if audit.files is not None:
+        out += ["", "## Library", "", *[f"- {x['source_kind']}: {x['n']}" for x in gates.ordered_counts(audit.files, "source_kind", "id").collect()]]
+    if audit.matches is not None:
+        out += ["", "## Paraphrases", "", *[f"- {x['status']}: {x['n']}" for x in gates.ordered_counts(audit.matches, "status", "citation_id").collect()]]
+    out += ["", "## To be reviewed", "", *[f"- {x['claim_type']}: {x['n']}" for x in gates.manual_by_type(r, audit.claims).orderBy(F.desc("n"), "claim_type").collect()]]
     out += ["", "## Failures", "", f"{broken['n_fail']}: {broken['n_numerical']} numerical, {broken['n_citation']} of citations, {broken['n_other']} other", ""]
     out += [f"- {x['target_type']} {x['target_id']}: {x['evidence']}" for x in gates.fail_detail(r, "ord").collect()]
     if broken["n_fail"] > 20:
@@ -147,17 +178,30 @@ def main(argv: list[str] | None = None) -> int:
     config = load_config(args.config) if args.config else AuditConfig()
     given = {k: os.path.abspath(v) for k, v in (("references", args.references), ("stats", args.stats), ("summary_stats", args.summary_stats), ("reports_dir", args.reports_dir)) if v}
     config = replace(config, **given, **({"manuscripts": tuple(args.manuscript)} if args.manuscript else {}))
+    unmatched = [m for m in config.manuscripts if not expand_specs([m])]
+    if unmatched:
+        print(f"no file matches: {', '.join(unmatched)}", file=sys.stderr)
+        return 2
+    if config.library and not os.path.isdir(config.library):
+        print(f"no such library folder: {config.library}", file=sys.stderr)
+        return 2
+    try:
+        provider = resolve(config.scorer, config.scorer_argv, config.scorer_timeout)
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return 2
     paths = expand_specs(list(config.manuscripts))
     wrong = [p for p in [*paths, config.references, config.stats, config.summary_stats] if p and not os.path.isfile(p)]
     if not paths or wrong:
         print(f"missing: {', '.join(wrong) or 'manuscripts'}", file=sys.stderr)
         return 2
     spark = SparkSession.builder.appName("quillcheck").getOrCreate()
-    audit = run(spark, config, args.phase)
+    audit = run(spark, config, args.phase, scorer_of(provider, config.scorer), classifier_of(provider))
     short = manifest(audit.manuscripts, config.project, config.project)
     folder = args.reports_dir or os.path.join(config.reports_dir, short.first()["manifest_sha256_prefix8"])
     os.makedirs(folder, exist_ok=True)
-    write_jsonl(short, f"{folder}/manifest")
+    with open(f"{folder}/manifest.json", "w", encoding="utf-8") as f:
+        f.write(short.toJSON().first() + "\n")  # one record with the files of this audit
     for name, frame in (("claims", audit.claims), ("references", audit.references), ("citations", audit.citations), ("source_pdfs", audit.files), ("paraphrase_matches", audit.matches), ("verifications", audit.results)):
         if frame is not None:
             write_jsonl(frame, f"{folder}/{name}.jsonl")

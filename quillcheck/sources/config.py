@@ -28,7 +28,9 @@ class AuditConfig:
     summary_labels: tuple[str, ...] = ()
     aliases: dict[str, str] = field(default_factory=dict)
     rules: DecisionRules = field(default_factory=DecisionRules)
-    scorer: str = "none"
+    scorer: str = "codex"
+    scorer_argv: tuple[str, ...] = ()
+    scorer_timeout: int = 120
 
 
 def load_config(path: str | Path) -> AuditConfig:
@@ -48,5 +50,5 @@ def load_config(path: str | Path) -> AuditConfig:
     return AuditConfig(
         project=project.get("name", "project"), manuscripts=tuple(str(base / s) for s in ([specs] if isinstance(specs, str) else specs)), references=at(project.get("references")), stats=at(project.get("stats")),
         summary_stats=at(project.get("summary_stats")), library=at(lib.get("root")), reports_dir=at(project.get("reports_dir", "reports")), headings=DEFAULT_HEADINGS | stats.get("headings", {}),
-        summary_headings=dict(stats.get("summary_sections", {})), summary_labels=tuple(stats.get("summary_labels", ())), aliases=dict(stats.get("dv_aliases", {})), rules=rules, scorer=llm.get("provider", "none"),
+        summary_headings=dict(stats.get("summary_sections", {})), summary_labels=tuple(stats.get("summary_labels", ())), aliases=dict(stats.get("dv_aliases", {})), rules=rules, scorer=str(llm.get("provider", "codex")), scorer_argv=tuple(str(a) for a in llm.get("argv", ())), scorer_timeout=int(llm.get("timeout", 120)),
     )

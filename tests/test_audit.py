@@ -1,5 +1,7 @@
 """A small study audited from files to exit code."""
 
+import json
+import sys
 from dataclasses import replace
 
 import pytest
@@ -148,6 +150,57 @@ def test_command_line(spark, project, capsys):
     assert list((project / "out").glob("*/summary.md"))
     assert A.main(["--config", str(project / "none.toml")]) == 2
     assert A.main(["--manuscript", str(project / "missing.md")]) == 2
+    assert A.main(["--manuscript", str(project / "*.nothing")]) == 2
+    folder = next((project / "out").glob("*"))
+    assert json.loads((folder / "manifest.json").read_text())["project"] == "tea"
+    text = (folder / "summary.md").read_text()
+    assert "## Ground truth\n\n2 measures: alertness, typing" in text and "## Library\n\n- not-found: 3" in text
+    for extra in ('[library]\nroot = "nowhere"\n', '[llm]\nprovider = "nobody"\n'):
+        (project / "bad.toml").write_text(CONFIG + extra, encoding="utf-8")
+        assert A.main(["--config", str(project / "bad.toml")]) == 2
+
+
+def test_ids_are_numbered_in_order(spark, project):
+    a, rows = outcome(spark, project)
+    assert [r.id for r in a.results.orderBy("id").collect()] == [f"vr-{i:04d}" for i in range(1, len(rows) + 1)]
+    assert sorted(r.id for r in a.citations.collect()) == ["cite-0001", "cite-0002"]
+    assert sorted((r.id, r.ref_id) for r in a.files.collect()) == [("pdf-001", "Abel2019"), ("pdf-002", "Dvorak2021"), ("pdf-003", "Ekman2018")]
+    assert [r.id for r in a.claims.orderBy("id").collect()] == [f"claim-{i:04d}" for i in range(1, 16)]
+
+
+def test_an_error_in_phase_2_is_a_failed_result(spark, project):
+    def broken(paraphrase, raw):
+        raise ValueError("the classifier broke")
+
+    a, rows = outcome(spark, project, phase=2, classifier=broken)
+    (project / "lib").mkdir()
+    (project / "lib" / "2019_Abel_Tea_at_work.md").write_text("Earlier work found the same.", encoding="utf-8")
+    config = replace(load_config(str(project / "q.toml")), library=str(project / "lib"))
+    b = A.run(spark, config, phase=2, classifier=broken)
+    failed = [r for r in b.results.collect() if r.target_type == "phase-2"]
+    assert [(r.target_id, r.status) for r in failed] == [("paraphrase-matching", "FAIL")] and b.matches is None
+    assert any(r.target_type == "numerical-claim" and r.status == "PASS" for r in b.results.collect())
+    # without a scorer nothing is scored, and what needs a score fails
+    c = A.run(spark, config, phase=2, scorer=None)
+    assert {(r.status, r.score) for r in c.matches.where("citation_purpose <> 'background-cite'").collect()} <= {("FAIL", None)}
+    assert ("phase-2", "FAIL") in {(r.target_type, r.status) for r in c.results.collect()}
+
+
+def test_providers():
+    from quillcheck.sources import providers as P
+
+    assert P.resolve("none") is None and P.resolve(None) is None and P.resolve("lexical") is None
+    assert P.resolve("codex").argv[0] == "codex" and P.resolve("none", ("x",)).name == "custom"
+    with pytest.raises(ValueError):
+        P.resolve("nobody")
+    answers = lambda text, code=0: P.Provider("x", (sys.executable, "-c", f"import sys; sys.stdin.read(); print({text!r}); sys.exit({code})"))
+    assert P.scorer_of(answers('{"score": 0.5}'))("a", "b") == 0.5
+    assert P.scorer_of(answers('{"score": 0.5}', 1))("a", "b") is None
+    assert P.scorer_of(P.Provider("x", ("/no/such/program",)))("a", "b") is None
+    assert P.scorer_of(P.Provider("x", (sys.executable, "-c", "import time; time.sleep(9)"), 1))("a", "b") is None
+    assert P.scorer_of(None) is None and P.scorer_of(None, "lexical") is not None
+    assert P.classifier_of(answers('{"purpose": "method-cite"}'))("a", "b") == "method-cite"
+    assert P.classifier_of(answers('{"purpose": "fun-cite"}'))("a", "b") is None and P.classifier_of(None) is None
 
 
 def test_paraphrase_is_scored_whole(spark):
