@@ -98,7 +98,9 @@ def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Located syntax errors of the statistics lines: code-point position and what was expected."""
+    """Located syntax errors of the statistics lines and reference entries: code-point position and what was expected."""
     lines = spark.read.parquet(f"{sf_dir}/raw_stat_rows.parquet").select("row_id", "raw_line")
-    found = statistics_records(lines).where(F.col("reason").isNotNull()).select(F.col("source.row_id").alias("row_id"), F.inline("problems"))
-    return found.distinct()
+    entries = spark.read.parquet(f"{sf_dir}/reference_entries.parquet").select("id", "raw_text")
+    parts = [(statistics_records(lines), "raw_stat_rows", F.col("source.row_id").cast("string")), (reference_records(entries), "reference_entries", F.col("source.id"))]
+    found = [r.where(F.col("reason").isNotNull()).select(F.lit(t).alias("record_table"), i.alias("record_id"), F.inline("problems")) for r, t, i in parts]
+    return found[0].unionByName(found[1]).distinct()

@@ -394,6 +394,13 @@ REJECTS_SQL = rf"""WITH l AS (SELECT DISTINCT row_id, coalesce(raw_line, '') s F
     SELECT * FROM a WHERE reason IS NOT NULL UNION ALL SELECT * FROM b WHERE reason IS NOT NULL"""
 
 
+LOADED_SQL = rf"""WITH l AS (SELECT DISTINCT row_id, manuscript_id, raw_line s FROM raw_stat_rows WHERE raw_line IS NOT NULL),
+    f AS (SELECT row_id, manuscript_id, list_transform(regexp_extract_all(s || ',', '({_FIELD}),', 1), lambda x: trim(CASE WHEN trim(x) LIKE '"%' THEN replace(substr(trim(x), 2, length(trim(x)) - 2), '""', '"') ELSE x END)) c FROM l
+      WHERE CAST(row_id AS VARCHAR) NOT IN (SELECT record_id FROM ({REJECTS_SQL}) WHERE record_table = 'raw_stat_rows'))
+    SELECT DISTINCT row_id, manuscript_id, c[1] AS dv, {_number_sql(2)} AS f, CAST({_number_sql(3)} AS BIGINT) AS df1, CAST({_number_sql(4)} AS BIGINT) AS df2, {_number_sql(5)} AS p_r, {_number_sql(6)} AS p_scipy, {_number_sql(7)} AS beta, {_number_sql(8)} AS se,
+      {_number_sql(9)} AS ci_low, {_number_sql(10)} AS ci_high, CAST({_number_sql(11)} AS BIGINT) AS n, c[12] AS parity FROM f"""
+
+
 def _key_sql(column: str) -> str:
     return f"nullif(lower(trim({column}, chr(32) || chr(9) || chr(13) || chr(10) || chr(160))), '')"
 
@@ -445,6 +452,7 @@ def oracle_sql() -> dict[str, str]:
         "claim_type_counts": counts,
         "decide_generic": GENERIC_SQL,
         "p4_found": REJECTS_SQL,
+        "p4_loaded": LOADED_SQL,
         "p5_key_cascade": _key_cascade_sql(),
         "infer_dv": f"WITH {TRUTH_SQL} SELECT DISTINCT id AS claim_id, dv FROM j WHERE dv IS NOT NULL",
         "decide_p_value": P_VALUE_SQL,
