@@ -40,6 +40,7 @@ ORGANISATION = {
 }
 SHORT_FORM = {s: word for word, forms in ORGANISATION.items() for s in [word, *forms.split()]}
 SMALL_WORDS = set("for of the and in on fur pour de del la y et und".split())
+COMMONEST = ("for", "the", "and")
 TITLES = re.compile(r"^(?:(?:dr|prof|professor|mr|mrs|ms|hon|rev|pd)\b\.?\s+)+", re.IGNORECASE)
 JOINED_PARTICLE = re.compile(r"\b(Vander|Vanden|Vonder|Dela|Delos|V[ao]n|De|Del|Di|Le|La|Mac|Mc|Dos|Ter|Al|El)(?=[A-ZÀ-Þ][a-zß-ÿ])")
 SPECIAL = str.maketrans({"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ı": "i", "þ": "th", "ð": "d"})
@@ -147,7 +148,9 @@ def _organisation(text: str) -> tuple[str, ...]:
         text = f"{tail} {head}"  # the distinctive word put behind
     words = [w for w in re.split(r"[\s,.&/-]+", fold(text)) if w]
     words = words[1:] if words[:1] == ["the"] else words
-    significant = [w for i, w in enumerate(words) if i == 0 or w in SHORT_FORM or len(w) > 3 or (w not in SMALL_WORDS and len(w) == 3 and not any(edit_distance(w, x, 1) <= 1 for x in ("for", "the", "and")))]
+    # small words do not count, nor the commonest with one slip or a letter typed twice
+    slip = lambda w: any(edit_distance(w, x, 1) <= 1 for x in COMMONEST) if len(w) == 3 else re.sub(r"(.)\1", r"\1", w) in COMMONEST
+    significant = [w for i, w in enumerate(words) if i == 0 or w in SHORT_FORM or len(w) > 4 or (w not in SMALL_WORDS and len(w) >= 3 and not slip(w))]
     marked = [w for w in significant[1:] if w in SHORT_FORM or any(edit_distance(w, full, 1) <= 1 for full in ORGANISATION if len(full) > 4)]
     if len(significant) < 3 or not marked:
         return ()
@@ -284,6 +287,9 @@ def _keys_apart(x: Author, y: Author) -> int | None:
     options = []
     if not single.parts:
         options = [(double.parts[0], single.key)]
+        if len(double.parts[0]) == 1 and single.key[:1] == double.parts[0]:  # the other is a double surname in one word
+            tail = "".join(double.parts[1:])
+            options += [(tail, single.key[-n:]) for n in range(len(tail) - 1, len(tail) + 2) if 4 <= n <= len(single.key) - 3]
     elif len(single.parts) == len(double.parts):
         short = next((p for p in (x, y) if len(p.parts[0]) == 1), None)
         if short is not None and x.parts[0][0] == y.parts[0][0]:
@@ -399,13 +405,28 @@ def _acronyms(a: Author) -> set[str]:
     return {f"acronym|{letters}", *(f"acronym|{letters[:i]}?{letters[i + 1 :]}" for i in range(len(letters)))}
 
 
+def _tails(a: Author, index: bool) -> set[str]:
+    """Entries that lead from a double surname whose first half is an initial to those in one word, and back, not among the latter."""
+    if a.is_organisation:
+        return set()
+    if a.parts and len(a.parts[0]) == 1:
+        side, key = index, "".join(a.parts[1:])
+    elif not a.parts and len(a.key) >= 8:
+        side, key = not index, a.key
+    else:
+        return set()
+    # one slip leaves either the last two letters or the two before whole, a slip between them moves the latter
+    ends = {f"l{key[-2:]}", f"b{key[-4:-2]}"} if index else {f"l{key[-2:]}", f"b{key[-4:-2]}", f"b{key[-5:-3]}", f"b{key[-3:-1]}"}
+    return {f"tail|{int(side)}|{(a.parts[0] if a.parts else a.key)[:1]}|{e}" for e in ends}
+
+
 @lru_cache(maxsize=20_000)
 def name_index(name: str | None) -> list[str]:
     """Index entries of a typed name over all its readings, acronyms included."""
-    return sorted({e for a in read_name(name) for key in _lookup_keys(a) for e in key_entries(key)} | {e for a in read_name(name) for e in _acronyms(a)})
+    return sorted({e for a in read_name(name) for key in _lookup_keys(a) for e in key_entries(key)} | {e for a in read_name(name) for e in _acronyms(a) | _tails(a, True)})
 
 
 @lru_cache(maxsize=10_000)
 def name_probe(name: str | None) -> list[str]:
     """Lookups of a typed name; it shares at least one with the index entries of every name that may equal it."""
-    return sorted({e for a in read_name(name) for key in _lookup_keys(a) for e in key_lookups(key)} | {e for a in read_name(name) for e in _acronyms(a)})
+    return sorted({e for a in read_name(name) for key in _lookup_keys(a) for e in key_lookups(key)} | {e for a in read_name(name) for e in _acronyms(a) | _tails(a, False)})

@@ -169,7 +169,8 @@ def test_period_is_utc(spark):
         ("Nazkik, E. T.", "Nazkij", True), ("Nazkik, E. T.", "Nazkik’s, E.", True), ("Zhaestelo, Beth", "Zhaestelo, E. F.", True), ("Zhaestelo, Beth", "Zhaestelo, B.", True), ("Zhaestelo, Beth", "Zhaestelo, C.", False), ("le Resmen CC", "Resmen, le", True),
         ("van der Rot, A.", "VanderRot", True), ("Dr. Brown", "Brown, B.", True), ("Brown, B.", "Brown, C.", False), ("Brownson, Q.", "Brown, B.", False), ("Gitzow-Treldeyra, A.", "G.-Treldeyra", True), ("Jorløtt", "Jorlott", True),
         ("Tea Lab. for Cup Studies", "Tea Laboratory for Cup Studies", True), ("TLCS", "Tea Laboratory for Cup Studies", True), ("Laboratory for Cup Studies, Tea", "The Tea Laboratory for Cup Studies", True), ("Tea Lab. for Cup Studies", "Tea Lab. for Pot Studies", False),
-        ("", "Brown", False), (None, None, False), ("Brart0w", "Brartow", True),
+        ("", "Brown", False), (None, None, False), ("Brart0w", "Brartow", True), ("Tea Laboratory ffor Cup Studies", "Tea Laboratory for Cup Studies", True), ("Tea Laboratory forr Cup Studies", "Tea Laboratory for Cups Studies", True),
+        ("Gitzowtreldeyra", "G.-Treldeyra", True), ("Gitzowtreldeyra, A.", "G.-Treldeyr", True), ("Mitzowtreldeyra", "G.-Treldeyra", False), ("Gitzowtreldeyra", "G.-Melderrow", False),
     ],
 )
 def test_names(a, b, same):
