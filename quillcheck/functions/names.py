@@ -324,12 +324,6 @@ def compare(a: str | None, b: str | None) -> int | None:
     return best
 
 
-def surname_only(name: str | None) -> bool:
-    """Whether a typed name carries neither given names nor initials."""
-    readings = read_name(name)
-    return bool(readings) and not readings[0].given and not readings[0].is_organisation
-
-
 def segments(n: int, k: int) -> list[tuple[int, int]]:
     """``n`` letters cut into k + 1 segments of nearly equal length: (start, size)."""
     parts, out, at = k + 1, [], 0

@@ -143,7 +143,7 @@ def half_ulp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Printed against expected numbers of the results table."""
     rows = _table(spark, sf_dir, "verification_results", "id", "expected_value", "computed_value")
     d = printed_digits(F.col("computed_value").cast("string"))
-    return rows.select(F.col("id").alias("result_id"), half_ulp_equal(F.col("computed_value"), F.col("expected_value"), F.lit(2)).alias("equal_at_2"), (d > 0).alias("has_digits"))
+    return rows.select(F.col("id").alias("result_id"), *[half_ulp_equal(F.col("computed_value"), F.col("expected_value"), F.lit(k)).alias(f"equal_at_{k}") for k in range(4)], (d > 0).alias("has_digits"))
 
 
 # --- ground truth -------------------------------------------------------------
@@ -198,7 +198,7 @@ def reference_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def citations_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "in_text_citations", F.col("id").alias("citation_id"), F.col("raw_text").alias("text"))
-    return cit.extract_citations(lines).select("citation_id", "citation_type", "first_author_last", F.col("year").alias("cite_year"), "year_suffix", "year_alt")
+    return cit.extract_citations(lines).select("citation_id", "citation_type", "raw_text", "first_author_last", F.col("year").alias("cite_year"), "year_suffix", "year_alt")
 
 
 def _words_of(pattern: str) -> str:
@@ -210,8 +210,8 @@ _IN_PARENTHESES = _words_of(cit.SUB_CITATION).removesuffix(r"\b") + r"(?:[^\pL\p
 _IN_TEXT = r"(?:^|[^\pL\pN_])" + _words_of(cit.NARRATIVE).removeprefix(r"\b")
 CITATION_SQL = rf"""WITH t AS (SELECT DISTINCT id, raw_text r FROM in_text_citations WHERE raw_text IS NOT NULL AND NOT regexp_matches(raw_text, '^\s*>')),
     q AS (SELECT id, trim(unnest(string_split(substr(o, 2, length(o) - 2), ';'))) s FROM (SELECT id, unnest(regexp_extract_all(r, '\([^()]+\)')) o FROM t)),
-    p AS (SELECT id, 'parenthetical' k, regexp_extract(s, '{_IN_PARENTHESES}', ['a', 'y', 'z']) g FROM q), n AS (SELECT id, 'narrative' k, regexp_extract(r, '{_IN_TEXT}', ['a', 'y', 'z']) g FROM t)
-    SELECT id AS citation_id, k AS citation_type, g.a AS first_author_last, CAST(substr(g.y, 1, 4) AS INTEGER) AS cite_year, substr(g.y, 5, 1) AS year_suffix,
+    p AS (SELECT id, 'parenthetical' k, '(' || s || ')' w, regexp_extract(s, '{_IN_PARENTHESES}', ['a', 'y', 'z']) g FROM q), n AS (SELECT id, 'narrative' k, regexp_replace(regexp_extract(r, '{_IN_TEXT}', 0), '^[^A-Z]', '') w, regexp_extract(r, '{_IN_TEXT}', ['a', 'y', 'z']) g FROM t)
+    SELECT id AS citation_id, k AS citation_type, w AS raw_text, g.a AS first_author_last, CAST(substr(g.y, 1, 4) AS INTEGER) AS cite_year, substr(g.y, 5, 1) AS year_suffix,
       CASE WHEN g.z <> '' THEN CAST(substr(g.z, 1, 4) AS INTEGER) END AS year_alt FROM (SELECT * FROM p UNION ALL SELECT * FROM n) WHERE g.y <> ''"""
 
 
@@ -457,7 +457,7 @@ def oracle_sql() -> dict[str, str]:
         "infer_dv": f"WITH {TRUTH_SQL} SELECT DISTINCT id AS claim_id, dv FROM j WHERE dv IS NOT NULL",
         "decide_p_value": P_VALUE_SQL,
         "doc_lines": DOC_LINES_SQL,
-        "half_ulp": "SELECT DISTINCT id AS result_id, coalesce(abs(computed_value - expected_value) <= 0.01 * 0.5 + 1e-9, false) AS equal_at_2, CASE WHEN computed_value IS NOT NULL THEN true END AS has_digits FROM verification_results",
+        "half_ulp": "SELECT DISTINCT id AS result_id, coalesce(abs(computed_value - expected_value) <= 1.0 * 0.5 + 1e-9, false) AS equal_at_0, coalesce(abs(computed_value - expected_value) <= 0.1 * 0.5 + 1e-9, false) AS equal_at_1, coalesce(abs(computed_value - expected_value) <= 0.01 * 0.5 + 1e-9, false) AS equal_at_2, coalesce(abs(computed_value - expected_value) <= 0.001 * 0.5 + 1e-9, false) AS equal_at_3, CASE WHEN computed_value IS NOT NULL THEN true END AS has_digits FROM verification_results",
         "truth_p_table": TRUTH_P_SQL,
         "truth_usable": f"SELECT dv, count(*) FILTER (WHERE {USABLE_SQL}) AS n_usable FROM (SELECT DISTINCT * FROM gt_rows) GROUP BY dv",
         "truth_gate": f"SELECT coalesce(bool_or({USABLE_SQL}), false) AS usable FROM gt_rows",

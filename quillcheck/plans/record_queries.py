@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from quillcheck.functions.text import approx_equal, claim_number, rounded
 from quillcheck.operators import gates, paraphrase
 from quillcheck.operators import references as ref
-from quillcheck.operators.claims import PATTERNS, extract_claims, number_claims
+from quillcheck.operators.claims import PATTERNS, extract_claims, number_claims, without_duplicate_manuscripts
 from quillcheck.operators.decide import DecisionRules, decide
 from quillcheck.operators.library import attach_verdict, find_by_author_year, match_library
 from quillcheck.operators.truth import build_truth, has_usable_truth, merge_summary, summary_labels, summary_rows
 from quillcheck.session import collect_bounded, shuffled
+from quillcheck.sources.files import frontmatter
 
 Query = Callable[[SparkSession, str], DataFrame]
 MAX_CATALOG = 100_000
@@ -288,6 +289,28 @@ LIST_SQL = r"""WITH t AS (SELECT DISTINCT manuscript_id, raw_text r FROM referen
     SELECT manuscript_id, c AS chunk FROM p WHERE c <> '' AND c NOT LIKE '>%'"""
 
 
+# --- files and sections -------------------------------------------------------------
+
+
+def manuscripts_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manuscripts without the combined files where single sections are present."""
+    rows = _read(spark, sf_dir, "manuscripts").select("id", "section").distinct()
+    return without_duplicate_manuscripts(rows)
+
+
+ONCE_SQL = "SELECT DISTINCT id, section FROM manuscripts WHERE section IS DISTINCT FROM 'combined' OR NOT EXISTS (SELECT 1 FROM manuscripts WHERE section IN ('intro', 'methods', 'results', 'discussion', 'conclusion'))"
+
+
+def frontmatter_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of the leading block of a file, printed from the entries: quoted, given twice, or in the text only."""
+    rows = _read(spark, sf_dir, "reference_entries").select("id", F.coalesce(F.trim("doi"), F.lit("")).alias("d"), F.coalesce(F.trim("journal"), F.lit("")).alias("j")).distinct()
+    text = F.concat(F.lit("---\nkind: entry\ndoi: first\ndoi: '"), F.col("d"), F.lit("'\njournal: "), F.col("j"), F.lit("\n---\n# Notes\n\nyear: 2020\n"))
+    return rows.select(F.col("id").alias("entry_id"), *[frontmatter(text, k).alias(k) for k in ("doi", "journal", "year")])
+
+
+FRONTMATTER_SQL = "SELECT DISTINCT id AS entry_id, nullif(trim(doi), '') AS doi, nullif(trim(journal), '') AS journal, CAST(NULL AS VARCHAR) AS year FROM reference_entries"
+
+
 # --- the library -------------------------------------------------------------------
 
 
@@ -432,7 +455,7 @@ MATCH_SQL = rf"""WITH c AS (SELECT DISTINCT id, ref_id, citation_purpose u, cont
 def queries() -> dict[str, Query]:
     plain = (
         decide_claims, decide_counts, claim_values, claim_numbers, number_primitives, truth_build, truth_summary, truth_sections, truth_gate_result, truth_coverage, reference_fields, reference_list, library_match, library_by_author,
-        keyword_extract, lexical_scores, json_score, paraphrase_counts, purpose_origin, page_slices, paraphrase_match,
+        keyword_extract, lexical_scores, json_score, paraphrase_counts, purpose_origin, page_slices, paraphrase_match, manuscripts_once, frontmatter_values,
     )
     return {f.__name__: f for f in plain}
 
@@ -444,4 +467,5 @@ def oracle_sql() -> dict[str, str]:
         "truth_gate_result": "SELECT 'ground-truth' AS target_type, 'ground-truth' AS target_id, 'ground-truth-gate' AS verifier, 'FAIL' AS status WHERE (SELECT count(*) FROM numerical_claims) > 0",
         "reference_fields": FIELDS_SQL, "reference_list": LIST_SQL, "library_match": LIBRARY_SQL, "library_by_author": f"WITH {_library_sql(False)} SELECT id, pdf_path FROM every", "keyword_extract": KEYWORD_SQL, "lexical_scores": LEXICAL_SQL,
         "json_score": JSON_SQL, "paraphrase_counts": PARAPHRASE_COUNTS_SQL, "purpose_origin": ORIGIN_SQL, "page_slices": PAGES_SQL, "paraphrase_match": MATCH_SQL,
+        "manuscripts_once": ONCE_SQL, "frontmatter_values": FRONTMATTER_SQL,
     }

@@ -18,12 +18,6 @@ _built: dict[str, object] = {}
 T = TypeVar("T")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The named parquet table of a data directory, pruned to ``columns`` when given."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy per-row stages at least one partition per core.
 

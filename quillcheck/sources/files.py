@@ -6,7 +6,7 @@ import glob
 import os
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,7 +73,7 @@ def frontmatter(text: Column, key: str) -> Column:
     head = F.left(text, F.lit(8192))
     block = F.when(head.startswith("---\n"), F.get(F.split(F.substring(head, F.lit(5), F.lit(8192)), r"\n---", 2), F.lit(0)))
     closed = F.when(F.substring(head, F.lit(4), F.lit(8192)).contains("\n---"), block)
-    value = F.element_at(F.regexp_extract_all(closed, F.lit(rf"(?md)^{key}:[ \t]*(.*)$"), 1), -1)
+    value = F.try_element_at(F.regexp_extract_all(closed, F.lit(rf"(?md)^{key}:[ \t]*(.*)$"), 1), F.lit(-1))
     return F.nullif(F.regexp_replace(F.trim(value), r"^[\"']|[\"']$", ""), F.lit(""))
 
 
@@ -113,14 +113,23 @@ def pdf_pages(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Good records, and malformed lines for a warning; blank lines and a missing file give nothing."""
+    """Good records, and malformed lines for a warning as ``file, line_no, _corrupt``; blank lines and a missing file give nothing.
+
+    Lines are numbered only for the warning, within their file.
+    """
     corrupt = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     if not os.path.exists(path):
         empty = spark.createDataFrame([], corrupt)
-        return empty.drop("_corrupt"), empty.select("_corrupt")
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select(F.from_json("value", corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
-    return parsed.where("_corrupt is null").drop("_corrupt"), parsed.where("_corrupt is not null").select("_corrupt")
+        return empty.drop("_corrupt"), empty.select(F.lit("").alias("file"), F.lit(0).alias("line_no"), "_corrupt")
+    lines = spark.read.text(path)
+    record = F.from_json("value", corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    present = F.trim("value") != ""
+    good = lines.where(present).select(record.alias("r")).select("r.*").where("_corrupt is null").drop("_corrupt")
+    placed = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    within = Window.partitionBy("file").orderBy("_b", "_m")
+    numbered = placed.withColumn("line_no", F.row_number().over(within)).where(present)
+    bad = numbered.select("file", "line_no", record["_corrupt"].alias("_corrupt")).where("_corrupt is not null")
+    return good, bad
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:

@@ -8,10 +8,11 @@ from quillcheck.operators import citations as cit
 from quillcheck.operators import gates, paraphrase
 from quillcheck.operators import references as ref
 from quillcheck.operators.claims import PATTERNS, extract_claims, number_claims, text_lines, without_duplicate_manuscripts
-from quillcheck.operators.decide import DecisionRules, decide
-from quillcheck.operators.library import match_library
+from quillcheck.operators.decide import DecisionRules, decide, infer_measure
+from quillcheck.operators.library import attached, find_by_author_year, match_library
 from quillcheck.operators.truth import has_usable_truth, mean_sd_cell, table_rows
 from quillcheck.schemas import CLAIM, TRUTH
+from quillcheck.session import numbered
 from quillcheck.sources import files as src
 
 
@@ -137,7 +138,7 @@ def test_library(spark):
 
 @pytest.mark.parametrize(
     "response, rc, score",
-    [('{"score": 1e-3}', 0, 0.001), ('text ```{"score": 0.85}```', 0, 0.85), ('{"a": "} {", "score": 1}', 0, 1.0), ('{"score": "0.9"}', 0, None), ('{"score": true}', 0, None), ('{"score": NaN}', 0, None), ('{"score": 1.5}', 0, None), ('{"score": .9}', 0, None), ('{"score": 0.9', 0, None), ("", 0, None), (None, 0, None), ('{"score": 0.9}', 1, None)],
+    [('{"score": 1e-3}', 0, 0.001), ('text ```{"score": 0.85}```', 0, 0.85), ('{"a": "} {", "score": 1}', 0, 1.0), ('{"score": "0.9"}', 0, None), ('{"score": true}', 0, None), ('{"score": NaN}', 0, None), ('{"score": 1.5}', 0, None), ('{"score": .9}', 0, None), ('{"score": 0.9', 0, None), ('{oops} {"score": 0.9}', 0, None), ('{"a": {"score": 0.9}', 0, None), ("", 0, None), (None, 0, None), ('{"score": 0.9}', 1, None)],
 )
 def test_scores(response, rc, score):
     assert paraphrase.valid_score(response, rc) == score
@@ -181,12 +182,66 @@ def test_sources(spark, tmp_path):
     schema = spark.createDataFrame([("x", 1)], "a string, b int").schema
     (tmp_path / "r.jsonl").write_text('{"a": "é", "b": 1}\n\nbroken\n', encoding="utf-8")
     good, bad = src.read_jsonl(spark, str(tmp_path / "r.jsonl"), schema)
-    assert [tuple(r) for r in good.collect()] == [("é", 1)] and bad.count() == 1
+    assert [tuple(r) for r in good.collect()] == [("é", 1)]
+    assert [(r.file.rsplit("/", 1)[1], r.line_no, r._corrupt) for r in bad.collect()] == [("r.jsonl", 3, "broken")]
     assert src.read_jsonl(spark, str(tmp_path / "none.jsonl"), schema)[0].count() == 0
     src.write_jsonl(spark.createDataFrame([("x", None)], schema), str(tmp_path / "o.jsonl"))
     assert '"b":null' in "".join(p.read_text() for p in (tmp_path / "o.jsonl").glob("*.json"))
 
 
+def test_measures_by_overlapping_keywords(spark):
+    words = (("a", "gaze"), ("b", "gaze dwell"), ("c", "dwell time"), ("d", "time (s)"), ("d", "x+y"), ("a", "ga"))
+    texts = ["Gaze here", "gaze dwell", "a dwell time of 3", "TIME (S)", "x+y", "gag", "nothing", "", None, "xtime (s)x+y"]
+    want = ["a", None, "c", "d", "d", "a", None, None, None, "d"]
+    assert values(spark, infer_measure(F.col("t"), words), [(t,) for t in texts], "t string") == want
+    assert values(spark, infer_measure(F.col("t"), ()), [("x",)], "t string") == [None]
+
+
+def test_spans_against_python(spark):
+    import random
+    import re
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab1 é😀") for _ in range(rng.randrange(0, 60))) for _ in range(60)] + ["1" * 3000, "", None]
+    got = values(spark, X.spans(F.col("t"), r"1+|ab"), [(t,) for t in texts], "t string")
+    for t, g in zip(texts, got, strict=True):
+        assert [(x.raw, x.start, x.end) for x in g or []] == [(m[0], *m.span()) for m in re.finditer(r"1+|ab", t or "")]
+
+
+def test_numbers_in_global_order(spark):
+    rows = spark.range(0, 5000, 1, 7).select((F.lit(5000) - F.col("id")).alias("k"), F.pmod("id", F.lit(3)).alias("x"))
+    got = numbered(rows, ["x", "k"], "n-%04d").collect()
+    order = sorted((r.x, r.k) for r in got)
+    assert {(r.x, r.k): r.id for r in got} == {key: f"n-{i + 1:04d}" for i, key in enumerate(order)}
+    assert numbered(rows.limit(0), ["x"], "n-%04d").count() == 0
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from quillcheck import session
+
+    chosen = []
+    fake = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: folder), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=chosen.append))
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(fake("spark://host:7077", None))
+    session.ensure_checkpoint_dir(fake("spark://host:7077", "/shared"))
+    session.ensure_checkpoint_dir(fake("local[4]", None))
+    assert chosen[0] == "/shared" and len(chosen) == 2
+    table = session.stored(spark.createDataFrame([(1, None)], "a int, b string"))
+    assert [tuple(r) for r in table.collect()] == [(1, None)]
+
+
+def test_files_by_author_and_their_records(spark):
+    refs = spark.createDataFrame([("r1", 1, "Abel", 2020, "Tea", None), ("r2", 2, "Li", 2019, "y", None), ("r3", 3, "Egg", None, "q", "10.5/a-b")], "id string, ref_ord int, first_author_last string, year int, title string, doi string").withColumn("pdf_attached", F.lit(False))
+    files = spark.createDataFrame([("/l/2021_Abel.pdf", "2021_Abel", "pdf"), ("/l/2020_Abel.pdf", "2020_Abel", "pdf"), ("/l/Li_2018.md", "Li_2018", "md"), ("/l/Li_2020.md", "Li_2020", "md"), ("/l/x_10.5_a_b.pdf", "x_10.5_a_b", "pdf")], "path string, stem string, ext string").withColumns({"doi": F.lit(None).cast("string"), "title": F.lit(None).cast("string")})
+    assert {r.id: r.pdf_path for r in find_by_author_year(refs, files).collect()} == {"r1": "/l/2020_Abel.pdf", "r2": None, "r3": None}
+    found = match_library(refs, files)
+    records, marked = attached(refs, found)
+    assert [(r.id, r.ref_id, r.source_kind) for r in records.orderBy("id").collect()] == [("pdf-001", "r1", "pdf"), ("pdf-002", "r2", "ambiguous"), ("pdf-003", "r3", "pdf")]
+    assert {r.id: r.pdf_attached for r in marked.collect()} == {"r1": True, "r2": False, "r3": True}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from quillcheck.streaming.claims import claims_stream, read_line_stream, write_stream
 
