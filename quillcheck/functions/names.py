@@ -52,6 +52,8 @@ for _name, _forms in NICKNAMES.items():
 for _f in OTHER_GIVEN.split():
     CANONICAL[_f] = frozenset({_f})
 
+ANY_DIGIT = re.compile(r"\d")
+LOOK_ALIKE_DIGIT = re.compile(r"(?<=[^\W\d_])\d|\d(?=[^\W\d_])")
 INITIALS = re.compile(r"(?:[^\W\d_]\.[\s-]*)+(?:[^\W\d_]\.?)?|[^\W\d_]")
 TRAILING_CAPITALS = re.compile(r"[A-Z]{1,3}")
 ACRONYM = re.compile(r"[A-Z]{3,6}")
@@ -78,14 +80,18 @@ class Author:
 
 def fold(text: str) -> str:
     """Lower-case letters without accents; look-alike digits between letters become letters."""
-    text = unicodedata.normalize("NFKD", text.translate(SPECIAL))
-    text = "".join(c for c in text if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").casefold()
-    return re.sub(r"(?<=[^\W\d_])\d|\d(?=[^\W\d_])", lambda m: m[0].translate(DIGITS), text)
+    if text.isascii():
+        text = text.lower()
+    else:
+        text = unicodedata.normalize("NFKD", text.translate(SPECIAL))
+        text = "".join(c for c in text if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").casefold()
+    return LOOK_ALIKE_DIGIT.sub(lambda m: m[0].translate(DIGITS), text) if ANY_DIGIT.search(text) else text
 
 
 def squash(text: str) -> str:
     """Folded letters alone."""
-    return "".join(c for c in fold(text) if c.isalpha())
+    text = fold(text)
+    return text if text.isalpha() else "".join(c for c in text if c.isalpha())
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -141,6 +147,12 @@ def _given(text: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+@lru_cache(maxsize=100_000)
+def _marks(word: str) -> bool:
+    """Whether a word marks an organisation, in full with one slip or as a short form."""
+    return word in SHORT_FORM or any(edit_distance(word, full, 1) <= 1 for full in ORGANISATION if len(full) > 4)
+
+
 def _organisation(text: str) -> tuple[str, ...]:
     """The significant words of an organisation with written-out markers, or nothing for a person."""
     head, comma, tail = text.partition(",")
@@ -148,11 +160,12 @@ def _organisation(text: str) -> tuple[str, ...]:
         text = f"{tail} {head}"  # the distinctive word put behind
     words = [w for w in re.split(r"[\s,.&/-]+", fold(text)) if w]
     words = words[1:] if words[:1] == ["the"] else words
+    if len(words) < 3 or not any(map(_marks, words[1:])):
+        return ()
     # small words do not count, nor the commonest with one slip or a letter typed twice
     slip = lambda w: any(edit_distance(w, x, 1) <= 1 for x in COMMONEST) if len(w) == 3 else re.sub(r"(.)\1", r"\1", w) in COMMONEST
     significant = [w for i, w in enumerate(words) if i == 0 or w in SHORT_FORM or len(w) > 4 or (w not in SMALL_WORDS and len(w) >= 3 and not slip(w))]
-    marked = [w for w in significant[1:] if w in SHORT_FORM or any(edit_distance(w, full, 1) <= 1 for full in ORGANISATION if len(full) > 4)]
-    if len(significant) < 3 or not marked:
+    if len(significant) < 3 or not any(map(_marks, significant[1:])):
         return ()
     return tuple(SHORT_FORM.get(w, w) for w in significant)
 
@@ -306,6 +319,8 @@ def compare(a: str | None, b: str | None) -> int | None:
     """How far two typed names are apart if they can denote the same author (0 is equal but for form), else None."""
     best: int | None = None
     left, right = read_name(a), read_name(b)
+    if a == b:
+        return 0 if left else None
     for i, x in enumerate(left):
         for j, y in enumerate(right):
             found: int | None = None
