@@ -46,18 +46,25 @@ def matching_names(probes: DataFrame, indexed: DataFrame, scope: list[str]) -> D
     Both inputs have ``scope`` columns and ``name``.  Their distinct names are
     spread over hashed index entries that contain the scope, so one large scope
     is divided over as many keys as it has segments; only pairs that share an
-    entry are compared.  Null and blank names match nothing.
+    entry are compared.  What is shuffled per entry are two hashes, of the entry
+    and of the name; names that share a hash are told apart when the pairs get
+    their names back and are verified.  Null and blank names match nothing.
     """
     present = F.col("name").isNotNull() & (F.trim("name") != "")
-    # few rows become many entries here
-    left = shuffled(probes.where(present).select(*scope, "name").distinct())
-    right = shuffled(indexed.where(present).select(*scope, "name").distinct())
     hashed = [F.col(c) for c in scope]
-    keyed_left = left.select(*scope, F.col("name").alias("probe_name"), F.explode(probe_entries("name")).alias("_entry")).withColumn("_key", F.xxhash64(*hashed, "_entry")).drop("_entry")
-    keyed_right = right.select(*scope, F.col("name").alias("indexed_name"), F.explode(index_entries("name")).alias("_entry")).withColumn("_key", F.xxhash64(*hashed, "_entry")).drop("_entry")
-    conditions = [keyed_left["_key"] == keyed_right["_key"], *[keyed_left[c].eqNullSafe(keyed_right[c]) for c in scope]]
-    condition = conditions[0]
-    for c in conditions[1:]:
-        condition = condition & c
-    pairs = keyed_left.join(keyed_right, condition).select(*[keyed_left[c] for c in scope], "probe_name", "indexed_name").distinct()
-    return pairs.withColumn("apart", names_apart("probe_name", "indexed_name")).where(F.col("apart").isNotNull())
+
+    def sides(names_: DataFrame, role: str, entries) -> tuple[DataFrame, DataFrame]:
+        # few rows become many entries here
+        rows = shuffled(names_.where(present).select(*scope, "name").distinct())
+        rows = rows.select(*[F.col(c).alias(f"_{role}_{c}") for c in scope], F.col("name").alias(f"{role}_name"), F.xxhash64(*hashed, "name").alias(f"_{role}"), *hashed)
+        keyed = rows.select(f"_{role}", *hashed, F.explode(entries(f"{role}_name")).alias("_entry")).select(f"_{role}", F.xxhash64(*hashed, "_entry").alias("_key"))
+        return rows.drop(*scope), keyed
+
+    left, keyed_left = sides(probes, "probe", probe_entries)
+    right, keyed_right = sides(indexed, "indexed", index_entries)
+    pairs = keyed_left.join(keyed_right, "_key").select("_probe", "_indexed").distinct()
+    named = pairs.join(left, "_probe").join(right, "_indexed")
+    for c in scope:
+        named = named.where(F.col(f"_probe_{c}").eqNullSafe(F.col(f"_indexed_{c}")))
+    named = named.select(*[F.col(f"_probe_{c}").alias(c) for c in scope], "probe_name", "indexed_name")
+    return named.withColumn("apart", names_apart("probe_name", "indexed_name")).where(F.col("apart").isNotNull())
