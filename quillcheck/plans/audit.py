@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import argparse
 import os
+import re
 import sys
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,9 +120,9 @@ def run(
                 matches = _matches(spark, linked, files, scorer, classifier, pages)
                 parts.append(_results(matches, 6, "paraphrase-match", "paraphrase", F.col("citation_id"), F.col("status"), F.col("citation_purpose"), computed_value=F.col("score")))
                 parts.append(gates.scored_gate(matches).drop("id").withColumn("src", F.lit(7)))
-            except (OSError, ValueError, RuntimeError, PySparkException) as e:
+            except (OSError, ValueError, RuntimeError, PySparkException, Py4JJavaError) as e:
                 matches = None
-                parts.append(gates.error_gate(spark, str(e).split("\n")[0][:300]).drop("id").withColumn("src", F.lit(7)))
+                parts.append(gates.error_gate(spark, _reason(e)).drop("id").withColumn("src", F.lit(7)))
     elif phase == 2:
         parts.append(gates.error_gate(spark, "no references are configured").drop("id").withColumn("src", F.lit(7)))
 
@@ -132,6 +134,12 @@ def run(
     return Audit(records, claims, entries, linked, files, matches, results, truth)
 
 
+def _reason(error: Exception) -> str:
+    """The line of an error that names its cause; errors of executors come wrapped in traces."""
+    lines = [line.strip() for line in str(error).splitlines() if line.strip()] or [type(error).__name__]
+    return next((line for line in lines if re.match(r"\w*(?:Error|Exception): ", line)), lines[0])[:300]
+
+
 def _matches(spark: SparkSession, linked: DataFrame, files: DataFrame, scorer: paraphrase.Scorer | None, classifier: paraphrase.Classifier | None, pages: PageReader) -> DataFrame:
     """The citations of attached files compared with them, computed at once so that errors show here."""
     paths = [r[0] for r in collect_bounded(files.where("pdf_path is not null").select("pdf_path").distinct(), MAX_FILES, "the attached files")]

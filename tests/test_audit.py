@@ -179,6 +179,7 @@ def test_an_error_in_phase_2_is_a_failed_result(spark, project):
     b = A.run(spark, config, phase=2, classifier=broken)
     failed = [r for r in b.results.collect() if r.target_type == "phase-2"]
     assert [(r.target_id, r.status) for r in failed] == [("paraphrase-matching", "FAIL")] and b.matches is None
+    assert "ValueError: the classifier broke" in failed[0].evidence
     assert any(r.target_type == "numerical-claim" and r.status == "PASS" for r in b.results.collect())
     # without a scorer nothing is scored, and what needs a score fails
     c = A.run(spark, config, phase=2, scorer=None)
