@@ -375,8 +375,10 @@ class Catalog:
 
     def beside(self, typed: str) -> list[list[str]]:
         """One or two words at either end of a value, of which one at least is unlike any word of the catalog."""
-        words = [w.rstrip(".") for w in WORDS.findall(normal(re.sub(PUNCTUATION, " ", typed)))]
-        ends = {tuple(e) for n in (1, 2) if len(words) > n for e in (words[:n], words[-n:])}
+        ends: set[tuple[str, ...]] = set()
+        for text in {typed, HYPHEN.sub("", typed)}:  # a compound is two words or one
+            words = [w.rstrip(".") for w in WORDS.findall(normal(re.sub(PUNCTUATION, " ", text)))]
+            ends |= {tuple(e) for n in (1, 2) if len(words) > n for e in (words[:n], words[-n:])}
         return [list(e) for e in sorted(ends) if not all(self.near(w) for w in e)]
 
     def value(self, typed: str) -> str:

@@ -95,6 +95,8 @@ def test_learnt_affixes(spark, table):
     known = C.Catalog(C.written_forms(table), {})
     mapped = spark.createDataFrame([(known.value(r.v), known.beside(r.v)) for r in values.collect()], "dv string, beside array<array<string>>")
     assert C.learnt_affixes(mapped, C.written_forms(table)) == {("zeta",)}
+    rated = spark.createDataFrame([(f"self-rated {w}",) for w in ("recall accuracy", "delayed recall", "state anxiety", "self-efgicacy")], "v string")
+    assert {r.v: r.dv for r in C.map_values(rated, "v", table).collect()}["self-rated self-efgicacy"] == "self_efficacy"
 
 
 def test_catalog_frames(spark, table):
